@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from rowloom.runtime import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of records and warnings that hold residue instead of content."""
+    from rowloom.llm.residue import residue
+
+    return residue(table(spark, sf_dir, "scrape_result")).select("run_id", "field_name", "item_pos")
+
+
 def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every field of every group with its chosen row and what decided."""
     from rowloom.llm.survivors import survivors
@@ -57,7 +64,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p4_found, p4_survivors, p5_found, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p3_found, p4_found, p4_survivors, p5_found, p8_ids, p9_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
