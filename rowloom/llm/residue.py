@@ -68,7 +68,7 @@ def _evidence(line: Column, whole: Column, name: Column) -> Column:
         .when(plain.rlike(rf"(?iu)^({WHOLE_LINES})\W*$"), "notice")
         .when(plain.rlike(rf"(?i)^((error|fehler|erreur|ошибка)\W*)?\d{{3}}\W*({HTTP_PHRASES})?\W*$") & plain.rlike(r"(?i)[a-zа-я]"), "error page")
         .when(plain.rlike(rf"(?i)^(({HTTP_PHRASES})\W*(\d{{3}})?|(error|fehler|erreur|ошибка)\W*\d{{3}})\W*$"), "error page")
-        .when(bare.rlike("(?iu)" + "|".join(f"({p})" for p in PHRASES)), "notice")
+        .when(plain.rlike("(?iu)" + "|".join(f"({p})" for p in PHRASES)), "notice")
     )
 
 
