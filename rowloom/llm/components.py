@@ -38,6 +38,14 @@ def _strip(around: DataFrame) -> DataFrame:
     return pairs.select(node.alias("node"), (F.col("u") + F.col("v") - node).alias("parent"), "u", "v")
 
 
+def _double(state: DataFrame) -> DataFrame:
+    """Every open arc takes over the pointer of the arc that it points to."""
+    ahead = state.select(F.col("x").alias("jx"), F.col("to").alias("jto"), F.col("nx").alias("jnx"), F.col("nto").alias("jnto"), F.col("end").alias("jend"), F.col("lo").alias("jlo"))
+    return state.join(ahead, (F.col("nx") == F.col("jx")) & (F.col("nto") == F.col("jto")), "left").select(
+        "x", "to", F.col("jnx").alias("nx"), F.col("jnto").alias("nto"), F.coalesce("end", "jend").alias("end"), F.least("lo", F.coalesce("jlo", "lo")).alias("lo"), (F.coalesce("jlo", "lo") < F.col("lo")).alias("fell"), F.col("fell").alias("fell_before")
+    )
+
+
 def _rank_chains(scratch: Scratch, around: DataFrame) -> DataFrame:
     """(x, a, b, lo): the two ends of the path of degree-two vertices that holds x; on a closed ring a and b are null and lo is its smallest vertex."""
     middle = around.where("degree = 2")
@@ -54,11 +62,8 @@ def _rank_chains(scratch: Scratch, around: DataFrame) -> DataFrame:
         if not n["open"] or (n["open"] == before and not n["fell"]):
             break
         before = n["open"]
-        ahead = state.select(F.col("x").alias("jx"), F.col("to").alias("jto"), F.col("nx").alias("jnx"), F.col("nto").alias("jnto"), F.col("end").alias("jend"), F.col("lo").alias("jlo"))
-        step = state.join(ahead, (F.col("nx") == F.col("jx")) & (F.col("nto") == F.col("jto")), "left").select(
-            "x", "to", F.col("jnx").alias("nx"), F.col("jnto").alias("nto"), F.coalesce("end", "jend").alias("end"), F.least("lo", F.coalesce("jlo", "lo")).alias("lo"), (F.coalesce("jlo", "lo") < F.col("lo")).alias("fell")
-        )
-        new = scratch.cut(step)
+        once = _double(state)
+        new = scratch.cut(_double(once).withColumn("fell", F.col("fell") | F.col("fell_before")).drop("fell_before"))
         scratch.drop(state)
         state = new
     ends = scratch.cut(state.groupBy("x").agg(F.min("end").alias("a"), F.max("end").alias("b"), F.min("lo").alias("lo")))
@@ -98,7 +103,7 @@ def group_linked(edges: DataFrame, left: str = "left", right: str = "right", *,
         # strips and compressions take turns: a compressed tail of any length is one leaf for the next strip
         if n["one"] and not (stripped and n["two"]):
             stripped = True
-            gone = scratch.cut(_strip(around))
+            gone = _strip(around)  # cheap to derive again from the written arcs, which are kept for it
             removed.append(gone.select("node", "parent"))
             rest = scratch.cut(live.join(gone.select("u", "v"), ["u", "v"], "left_anti"))
         elif n["two"]:
@@ -114,20 +119,22 @@ def group_linked(edges: DataFrame, left: str = "left", right: str = "right", *,
             removed.append(up)
             moved = live.join(up.select(F.col("node").alias("u"), F.col("parent").alias("pu")), "u", "left").join(up.select(F.col("node").alias("v"), F.col("parent").alias("pv")), "v", "left")
             rest = scratch.cut(_ordered(moved.select(F.coalesce("pu", "u").alias("a"), F.coalesce("pv", "v").alias("b")), "a", "b"))
-        scratch.drop(live, around)
+        scratch.drop(live)
         live = rest
     scratch.drop(live, around)
     if not removed:
         return edges.sparkSession.createDataFrame([], "row_id long, group_id long")
     # restore: the label of a removed vertex is that of its pointer, which outlived it
     label: DataFrame | None = None
-    for gone in reversed(removed):
+    for i, gone in enumerate(reversed(removed), start=1):
         if label is None:
             below = gone.select("node", F.col("parent").alias("root"))
         else:
             known = label.select(F.col("node").alias("parent"), "root")
             below = gone.join(known, "parent", "left").select("node", F.coalesce("root", "parent").alias("root"))
-        label = below if label is None else scratch.cut(label.unionByName(below))
+        label = below if label is None else label.unionByName(below)
+        if i % 3 == 0 or i == len(removed):
+            label = scratch.cut(label)
     lowest = label.groupBy("root").agg(F.min("node").alias("least")).select("root", F.least("root", "least").alias("group_id"))
     members = label.join(lowest, "root").select(F.col("node").alias("row_id"), "group_id")
     return members.unionByName(lowest.select(F.col("root").alias("row_id"), "group_id"))

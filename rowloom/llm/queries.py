@@ -17,6 +17,13 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_places(table(spark, sf_dir, "people_export"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows of one person or organisation, spelt differently."""
+    from rowloom.llm.names import same_names
+
+    return same_names(table(spark, sf_dir, "people_export"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of records and warnings that hold residue instead of content."""
     from rowloom.llm.residue import residue
@@ -71,7 +78,7 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_survivors, p5_found, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_survivors, p5_found, p8_ids, p9_containers)}
 
 
 def oracle_sql() -> dict[str, str]:
