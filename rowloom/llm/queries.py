@@ -61,6 +61,27 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_linked(decided.unionByName(listed), "a", "b")
 
 
+def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    none = F.lit(None).cast("string")
+    crm = table(spark, sf_dir, "crm_contacts").select(F.col("crm_id").cast("long").alias("id"), F.col("full_name").alias("name"), F.col("mobile").alias("phone"), none.alias("email"), F.col("street").alias("address"), F.col("zip_code").alias("zip"), F.col("city").alias("town"))
+    people = table(spark, sf_dir, "people_export").select(F.col("row_id").cast("long").alias("id"), "name", "phone", "email", "address", "zip", none.alias("town"))
+    return crm, people
+
+
+def p6_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every compared pair of a contact and a row, with agreement levels and confidence."""
+    from rowloom.llm.linkage import link_sources
+
+    return link_sources(*_sources(spark, sf_dir)).withColumnsRenamed({"left_id": "crm_id", "right_id": "row_id"})
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts and rows that are the same person or organisation."""
+    from rowloom.llm.linkage import link_sources, matches
+
+    return matches(link_sources(*_sources(spark, sf_dir))).select(F.col("left_id").alias("crm_id"), F.col("right_id").alias("row_id"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document by byte_bpe_50k."""
     from rowloom.llm.tokens import encode_corpus
@@ -77,8 +98,15 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_containers(sizes, table(spark, sf_dir, "context_windows"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence units of every document."""
+    from rowloom.llm.sentences import sentence_units
+
+    return sentence_units(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_survivors, p5_found, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_survivors, p5_found, p6_found, p6_links, p8_ids, p9_containers, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:
