@@ -344,6 +344,7 @@ def learn(documents: DataFrame, scratch: Scratch, *, most_entries: int = 1_000_0
     starts = cased.join(capital, ["language", "next"], "left").na.fill(0, ["opened"])
     starts = starts.where("(lower >= 2 AND lower > upper) OR (opened >= 5 AND opened >= 0.5 * seen)").where("opened >= 1 OR lower >= 3")
     starts = starts.join(after.where("case = 'U'").select("language", "next").distinct(), ["language", "next"], "left_semi")
+    starts = starts.join(abbr.withColumnRenamed("a", "next"), ["language", "next"], "left_anti")
     # ordinals: a capitalised word that follows a one- or two-figure number and a period, and rarely opens a sentence otherwise
     ordinal = after.where("a = '#2' AND case = 'U'").groupBy("language", "next").agg(F.sum("n").alias("k")).join(capital, ["language", "next"], "left").na.fill(0, ["opened"]).where("k >= 2 AND k > 2 * opened")
     opens = word.where("open >= 2 AND open >= 0.03 * (open + inner)")
