@@ -8,6 +8,7 @@ exact sizes, so its broadcast decisions rest on measured bytes.
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -29,10 +30,20 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers started from any directory import this package from where the driver found it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
 class Scratch:
     """Intermediate tables of one query, written to the shared folder and dropped as soon as they are superseded."""
 
     def __init__(self, spark: SparkSession):
+        reachable(spark)
         self.spark = spark
         self.root = f"{shared_folder(spark)}/rowloom-{uuid.uuid4().hex}"
         self._n = 0
@@ -74,4 +85,5 @@ class Scratch:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
