@@ -159,3 +159,23 @@ def test_sentences(spark):
     docs = spark.createDataFrame([(1, "One. Two.", "en", "x"), (2, None, None, None), (3, "", "de", "y"), (4, "x" * 100_000, "und", "z")], "doc_id long, text string, lang string, source string")
     assert sorted(map(tuple, sentence_units(docs).collect())) == [(1, 0, 4), (1, 5, 9), (4, 0, 100_000)]
     assert sentence_units(docs.limit(0)).count() == 0
+
+
+def test_linkage_meets_typos_and_slips(spark):
+    cols = "id long, name string, phone string, email string, address string, zip string, town string"
+    left = [(i, f"Given{chr(97 + i)} Sur{chr(97 + i) * 4}", f"512-555-{1000 + i}", None, f"{i + 1} Oak St", "12345", None) for i in range(20)]
+    right = [(100 + i, *r[1:]) for i, r in enumerate(left)]
+    # a typo in the rarest word, a second surname, a nickname beside two typos, and a slip of the postal code
+    left += [(50, "Zofia Xanbisiler", "927-555-5252", None, None, "12345", None), (51, "Imani Rudmunander", None, None, "9 Elm St", "12345", None), (52, "Bob Himonurkas", None, None, None, "12345", None), (54, "Oakesview Inc", None, None, None, "12345", None), (53, "Eddie Jorvevoden", None, None, "928 Brookmardell Ln", "06941", None)]
+    right += [(150, "Zoia Xanbisiler", None, None, "77 Elm St", "12345", None), (151, "Imani Rudmunander Vostigen", "512-555-7777", None, None, "12345", None), (152, "Robert Himunurkes", "512-555-7778", None, None, "12345", None), (155, "Oakes Veiw Inc", "512-555-7779", None, None, "12345", None), (153, "Edward Jorvevoden", "940-555-1179", None, "928 Brookmardell Ln", "06914", None), (154, "Nina Xanbisiler", None, None, "78 Elm St", "12345", None)]
+    got = {(x.left_id, x.right_id) for x in matches(link_sources(spark.createDataFrame(left, cols), spark.createDataFrame(right, cols))).collect()}
+    assert got == {(i, 100 + i) for i in range(20)} | {(i, 100 + i) for i in (50, 51, 52, 53)} | {(54, 155)}
+
+
+def test_name_tokens_are_complete():
+    forms = [parse.name_form(x) for x in ("Ann Ashlanessan", "Ann B Ashlunessen", "Bobby Li", "Robert Li", "Mary Anna S. Ostrava", "Maryanna Ostrava", "Jan Vo", "Christopher Maryann Lo", "Mary C. Ann Lo", "Oakes View Repair", "Oakesview Repair", "Nortubern", "Farid Fosurd", "F. Fpsurd")]
+    tokens = {f: parse.name_tokens(f) for f in forms}
+    met = lambda a, b: any((s == t or parse.close(s.lstrip("+"), t.lstrip("+"))) and (not p or not q or set(p) & set(q)) for s, p in tokens[a] for t, q in tokens[b])
+    pairs = [(a, b) for a in forms for b in forms if a < b and (parse.name_cost(a, b) or 9) <= 2.6]
+    assert len(pairs) >= 4 and all(met(a, b) for a, b in pairs)
+    assert parse.name_tokens("o||insurance") == []
