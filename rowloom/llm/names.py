@@ -1,7 +1,7 @@
 """Problem 2: variant spellings of names, by noisy-channel attribution.
 
-A spelling only stands for a person in a context: a telephone, a place, or an e-mail address that its rows do not spread
-over several regions. In each context the distinct spellings compete: every spelling is attached to the candidate with
+A spelling only stands for a person in a context: a telephone, a place, or an e-mail address, unless different names
+spread it over several regions. In each context the distinct spellings compete: every spelling is attached to the candidate with
 the highest posterior, the product of a frequency prior (how often the candidate is written in the context and
 overall, and how complete it is) and the likelihood of the typos, abbreviations and nicknames that turn the candidate
 into the spelling. A spelling that two different people explain equally well is attached to neither. Attached spellings
@@ -34,10 +34,13 @@ def contacts(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def _contexts(known: DataFrame) -> DataFrame:
-    """(key, form, id): the contexts of every row. An e-mail address seen in several regions counts apart in each of them."""
-    spread = known.where("email IS NOT NULL").groupBy("email").agg(F.min("zip").alias("lo"), F.max("zip").alias("hi"))
-    mail = known.where("email IS NOT NULL").join(spread, "email")
-    mail = mail.where("lo IS NULL OR lo = hi OR zip IS NOT NULL").select(F.xxhash64(F.lit("m"), "email", F.when(F.col("lo") != F.col("hi"), F.col("zip")).otherwise(F.lit(""))).alias("key"), "form", "id")
+    """(key, form, id): the contexts of every row. An e-mail address seen in several regions counts apart in each of them if its names contradict each other (a default value); one person's goes with them."""
+    mail = known.where("email IS NOT NULL")
+    spread = mail.groupBy("email").agg(F.min("zip").alias("lo"), F.max("zip").alias("hi"), F.max_by("form", F.struct(F.length("form"), "form")).alias("fullest")).where("lo <> hi")
+    # every name is held against the fullest one, so that a default value costs no more than its rows
+    names = mail.select("email", "form").distinct().join(spread.select("email", "fullest"), "email")
+    split = names.where(differ("form", "fullest")).select("email").distinct().withColumn("apart", F.lit(True))
+    mail = mail.join(split, "email", "left").where("apart IS NULL OR zip IS NOT NULL").select(F.xxhash64(F.lit("m"), "email", F.when(F.col("apart"), F.col("zip")).otherwise(F.lit(""))).alias("key"), "form", "id")
     phone = known.where("phone IS NOT NULL").select(F.xxhash64(F.lit("t"), "phone").alias("key"), "form", "id")
     place = known.where("place IS NOT NULL").select(F.xxhash64(F.lit("a"), "place").alias("key"), "form", "id")
     return phone.unionByName(place).unionByName(mail)

@@ -179,3 +179,11 @@ def test_name_tokens_are_complete():
     pairs = [(a, b) for a in forms for b in forms if a < b and (parse.name_cost(a, b) or 9) <= 2.6]
     assert len(pairs) >= 4 and all(met(a, b) for a, b in pairs)
     assert parse.name_tokens("o||insurance") == []
+
+
+def test_a_mailbox_goes_with_a_person_who_moves(spark):
+    mail = "zendimann@x.example"
+    rows = [(1, "William N Zendimann", "512-555-0101", mail, None, "36135"), (2, "Bill Zendimann", "713-555-0102", mail, None, "24421"), (3, "William Zendiman", None, mail, None, None)]
+    # a default value: namesakes in other regions stay apart
+    rows += [(10, "Ann Oakvist", None, "import@x.example", None, "12111"), (11, "Anna Oakvist", None, "import@x.example", None, "22232"), (12, "Bruno Rintath", None, "import@x.example", None, "33343"), (13, "Ann B Oakvist", None, "import@x.example", None, None)]
+    assert {tuple(x) for x in same_names(_people(spark, rows)).collect()} == {(1, 2), (1, 3), (2, 3)}
