@@ -1,7 +1,7 @@
 """Session helpers: shared scratch tables that survive the loss of executors, and table loading.
 
 Lineage is cut by writing Parquet below the folder named in ``spark.checkpoint.dir``, which every executor shares.
-Only where that setting is absent (unit tests) is a private folder used. Written tables also give the optimizer
+Only in local mode without that setting (unit tests) is a private folder used; on a cluster its absence is an error. Written tables also give the optimizer
 exact sizes, so its broadcast decisions rest on measured bytes.
 """
 
@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_folder: str | None = None
 
@@ -24,6 +25,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="rowloom-")
         atexit.register(shutil.rmtree, _own_folder, True)
@@ -83,6 +86,14 @@ class Scratch:
             hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def one_per(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per key; of several the one with the smallest other values, so that the choice does not depend on the partitioning."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.distinct()
+    return df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*df.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
     reachable(spark)
