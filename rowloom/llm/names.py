@@ -4,22 +4,26 @@ A spelling only stands for a person in a context: a telephone, a place, or an e-
 spread it over several regions. In each context the distinct spellings compete: every spelling is attached to the candidate with
 the highest posterior, the product of a frequency prior (how often the candidate is written in the context and
 overall, and how complete it is) and the likelihood of the typos, abbreviations and nicknames that turn the candidate
-into the spelling. A spelling that two different people explain equally well is attached to neither. Attached spellings
-and copies form the links whose connected groups are the entities.
+into the spelling. The likelihoods of the channel are learned: how often each of them happens to a word is counted over
+all contexts that hold just two spellings. A spelling that two different people explain equally well is attached to
+neither. Attached spellings and copies form the links whose connected groups are the entities.
 
-Contexts with few spellings are compared outright; in larger ones (a shared switchboard, a default value) spellings
-meet only if they share a word or a word with one letter lost, so no context is compared pair by pair.
+In contexts with few spellings all of them meet; in larger ones (a shared switchboard, a default value) they meet by
+tokens, of which any two spellings of one name share one that is equal or a typo apart. Both ways give the same pairs,
+so the size of a context decides only how they are found.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.llm.components import group_linked
-from rowloom.llm.parse import cost_of, deletions, differ, name_column, phone_column, zip_column
+from rowloom.llm.parse import CHANNEL, all_tokens_of, close_to, differ, name_column, ops_of, phone_column, slips, zip_column
 from rowloom.llm.places import locate
-from rowloom.runtime import Scratch
+from rowloom.runtime import Scratch, one_per
 
 
 def contacts(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -40,9 +44,9 @@ def _contexts(known: DataFrame) -> DataFrame:
     # every name is held against the fullest one, so that a default value costs no more than its rows
     names = mail.select("email", "form").distinct().join(spread.select("email", "fullest"), "email")
     split = names.where(differ("form", "fullest")).select("email").distinct().withColumn("apart", F.lit(True))
-    mail = mail.join(split, "email", "left").where("apart IS NULL OR zip IS NOT NULL").select(F.xxhash64(F.lit("m"), "email", F.when(F.col("apart"), F.col("zip")).otherwise(F.lit(""))).alias("key"), "form", "id")
-    phone = known.where("phone IS NOT NULL").select(F.xxhash64(F.lit("t"), "phone").alias("key"), "form", "id")
-    place = known.where("place IS NOT NULL").select(F.xxhash64(F.lit("a"), "place").alias("key"), "form", "id")
+    mail = mail.join(split, "email", "left").where("apart IS NULL OR zip IS NOT NULL").select(F.concat_ws("|", F.lit("m"), "email", F.when(F.col("apart"), F.col("zip")).otherwise(F.lit(""))).alias("key"), "form", "id")
+    phone = known.where("phone IS NOT NULL").select(F.concat_ws("|", F.lit("t"), "phone").alias("key"), "form", "id")
+    place = known.where("place IS NOT NULL").select(F.concat_ws("|", F.lit("a"), "place").alias("key"), "form", "id")
     return phone.unionByName(place).unionByName(mail)
 
 
@@ -52,38 +56,75 @@ def _full(form: Column) -> Column:
     return F.aggregate(words, F.lit(0), lambda a, w: a + F.when(F.length(w) > 1, 2).otherwise(1)) + F.when(F.element_at(F.split(form, r"\|"), 2) != "", 1).otherwise(0)
 
 
+def near_tokens(tokens: DataFrame, scratch: Scratch) -> DataFrame:
+    """(token, other): every pair of tokens that are equal or a typo apart, from distinct tokens. Those after # only equal each other, those after + only meet single words."""
+    known = scratch.cut(tokens.select("token").distinct())
+    word = F.ltrim("token", F.lit("+"))
+    spelt = known.where(~F.col("token").startswith("#") & (F.length(word) >= 3)).repartition(F.col("token"))
+    cut = scratch.cut(spelt.select("token", F.col("token").startswith("+").alias("joined"), F.explode(slips(word)).alias("slip")))
+    met = cut.where("NOT joined").join(cut.select("slip", F.col("token").alias("other"), F.col("joined").alias("also")), "slip").where("also OR token < other")
+    near = scratch.cut(met.select("token", "other").distinct().where(close_to("token", F.ltrim("other", F.lit("+")))))
+    scratch.drop(cut)
+    same = known.where("token NOT LIKE '+%'").select("token", F.col("token").alias("other"))
+    return same.unionByName(near).unionByName(near.select(F.col("other").alias("token"), F.col("token").alias("other")))
+
+
+def _meetings(sized: DataFrame, outright: int, scratch: Scratch) -> DataFrame:
+    """(key, form, main): every ordered pair of spellings of one context that could be one name."""
+    few = sized.where(F.col("k") <= outright)
+    pairs = few.select("key", "form").join(few.select("key", F.col("form").alias("main")), "key").where("form <> main")
+    many = sized.where(F.col("k") > outright).select("key", "form")
+    if many.isEmpty():
+        return pairs
+    token = scratch.cut(many.select("form").distinct().select("form", F.explode(all_tokens_of("form")).alias("token")))
+    near = near_tokens(token, scratch)
+    left = many.join(token, "form").join(near, "token").select("key", "form", F.col("other").alias("token"))
+    right = many.join(token, "form").select("key", "token", F.col("form").alias("main"))
+    return pairs.unionByName(left.join(right, ["key", "token"]).where("form <> main").select("key", "form", "main").distinct())
+
+
+def channel_costs(both: DataFrame, priced: DataFrame) -> dict[str, float]:
+    """Negative log-likelihood of what the channel does to a word, counted over the contexts of two spellings; one row comes to the driver."""
+    pair = both.where("k = 2 AND form < main").join(priced, ["form", "main"])
+    row = pair.agg(*[F.sum(c).alias(c) for c in (*CHANNEL, "words")]).first()
+    words = row["words"] or 0
+    total = words + 20.0
+    return {c: -math.log(((row[c] or 0) + 20.0 * math.exp(-1 - first)) / total) for c, first in CHANNEL.items()}
+
+
 def attribute(spelt: DataFrame, scratch: Scratch, *, outright: int = 40, lead: float = 0.7) -> DataFrame:
     """(key, form, main): the spelling that each spelling of a context is attached to.
 
     spelt: (key, form, n, seen), n being the rows of the spelling in its context and seen in the whole table. The
-    posterior (log) is log(1 + n) + 0.3 log(seen) + completeness - cost. A spelling is left alone if the best candidate
-    leads a candidate that is a different person from it by less than ``lead``.
+    posterior (log) is log(1 + n) + 0.3 log(seen) + completeness + log-likelihood of the channel. A spelling is left
+    alone if the best candidate leads a candidate that is a different person from it by less than ``lead``.
+    ``outright`` is where contexts are searched by tokens; it does not change the result.
     """
-    sized = spelt.withColumn("k", F.count("*").over(Window.partitionBy("key"))).where("k > 1").withColumn("full", _full(F.col("form")))
-    sized = scratch.cut(sized)
-    few = sized.where(F.col("k") <= outright)
-    a = few.select("key", "form")
-    b = few.select("key", F.col("form").alias("main"))
-    pairs = a.join(b, "key").where("form <> main")
-    many = sized.where(F.col("k") > outright).select("key", "form")
-    words = F.filter(F.split(F.element_at(F.split("form", r"\|"), 3), " "), lambda w: F.length(w) >= 4)
-    cut = many.select("key", "form", F.explode(words).alias("w")).select("key", "form", F.explode(deletions(F.col("w"))).alias("d")).distinct()
-    pairs = pairs.unionByName(cut.join(cut.select("key", "d", F.col("form").alias("main")), ["key", "d"]).where("form <> main").select("key", "form", "main").distinct())
-    # one cost for each pair of spellings, whatever the number of contexts they share
-    both = scratch.cut(pairs.select("key", "form", "main"))
-    priced = scratch.cut(both.where("form < main").select("form", "main").distinct().repartition(F.col("form")).withColumn("cost", cost_of(F.col("form"), F.col("main"))).where("cost IS NOT NULL"))
-    either = priced.unionByName(priced.select(F.col("main").alias("form"), F.col("form").alias("main"), "cost"))
-    cand = both.join(either, ["form", "main"])
-    prior = sized.select("key", F.col("form").alias("main"), (F.log(1 + F.col("n")) + 0.3 * F.log(F.col("seen")) + 0.5 * F.col("full")).alias("prior"))
-    own = sized.select("key", "form", (F.log(1 + F.col("n")) + 0.3 * F.log(F.col("seen")) + 0.5 * F.col("full")).alias("own"))
-    scored = scratch.cut(cand.join(prior, ["key", "main"]).join(own, ["key", "form"]).withColumn("post", F.col("prior") - F.col("cost")))
+    size = spelt.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
+    prior = F.log(1 + F.col("n")) + 0.3 * F.log("seen") + 0.5 * _full(F.col("form"))
+    sized = scratch.cut(spelt.join(size, "key").select("key", "form", "k", prior.alias("prior")))
+    both = scratch.cut(_meetings(sized, outright, scratch).join(size, "key"))
+    # one comparison of each pair of spellings, whatever the number of contexts they share
+    compared = both.where("form < main").select("form", "main").distinct().repartition(F.col("form")).withColumn("o", ops_of("form", "main"))
+    priced = scratch.cut(compared.select("form", "main", "o.*").where("words IS NOT NULL"))
+    costs = channel_costs(both, priced)
+    cost = sum((F.lit(v) * F.col(c) for c, v in costs.items()), F.lit(0.0))
+    either = priced.select("form", "main", cost.alias("cost"))
+    either = either.unionByName(either.select(F.col("main").alias("form"), F.col("form").alias("main"), "cost"))
+    cand = both.select("key", "form", "main").join(either, ["form", "main"])
+    top = sized.select("key", F.col("form").alias("main"), "prior")
+    own = sized.select("key", "form", F.col("prior").alias("own"))
     # the forest points upwards only: to a candidate with a higher prior, ties by spelling
-    up = scored.where("prior > own OR (prior = own AND main < form)")
+    up = cand.join(top, ["key", "main"]).join(own, ["key", "form"]).where("prior > own OR (prior = own AND main < form)")
+    up = scratch.cut(up.select("key", "form", "main", (F.col("prior") - F.col("cost")).alias("post")))
+    scratch.drop(sized, both)
     best = up.groupBy("key", "form").agg(F.max(F.struct("post", "main")).alias("b")).select("key", "form", F.col("b.main").alias("main"), F.col("b.post").alias("post"))
     # a rival: another candidate nearly as good that cannot be the same person as the best
     rival = up.select("key", "form", F.col("main").alias("other"), F.col("post").alias("other_post")).join(best, ["key", "form"]).where((F.col("other") != F.col("main")) & (F.col("other_post") > F.col("post") - lead))
     foes = rival.join(either.select(F.col("form").alias("main"), F.col("main").alias("other"), "cost"), ["main", "other"], "left").where("cost IS NULL").select("key", "form").distinct()
-    return best.join(foes, ["key", "form"], "left_anti").select("key", "form", "main")
+    attached = scratch.cut(best.join(foes, ["key", "form"], "left_anti").select("key", "form", "main"))
+    scratch.drop(up, priced)
+    return attached
 
 
 def entities(known: DataFrame, scratch: Scratch) -> DataFrame:
@@ -99,6 +140,23 @@ def entities(known: DataFrame, scratch: Scratch) -> DataFrame:
     return group_linked(copies.unionByName(merged), "a", "b", scratch=scratch)
 
 
+def _grouped(people: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(group_id, id, form, spelling) of the rows of groups with several spellings, and (lf, rf), the pairs of forms of one group that do not contradict each other."""
+    base = scratch.cut(one_per(people.select(F.col("row_id").cast("long").alias("id"), "name", "phone", "email", "address", "zip"), ["id"]))
+    known = contacts(base.withColumn("town", F.lit(None).cast("string")), scratch)
+    group = entities(known, scratch).select(F.col("row_id").alias("id"), "group_id").join(known.select("id", "form"), "id")
+    text = scratch.cut(group.join(base.select("id", F.md5("name").alias("spelling")), "id"))
+    scratch.drop(base, known)
+    several = text.groupBy("group_id").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).where("a <> b").select("group_id")
+    text = scratch.cut(text.join(several, "group_id", "left_semi"))
+    # a chain of spellings may have joined relatives: forms that contradict each other are held against each other once, whatever the rows
+    form = text.select("group_id", "form").distinct()
+    met = form.select("group_id", F.col("form").alias("lf")).join(form.select("group_id", F.col("form").alias("rf")), "group_id").where("lf < rf").select("lf", "rf").distinct()
+    agree = scratch.cut(met.where(~differ("lf", "rf")))
+    same = form.select(F.col("form").alias("lf"), F.col("form").alias("rf")).distinct()
+    return text, same.unionByName(agree).unionByName(agree.select(F.col("rf").alias("lf"), F.col("lf").alias("rf")))
+
+
 def same_names(people: DataFrame) -> DataFrame:
     """(left_row_id, right_row_id): pairs of rows of one person or organisation whose name texts are not identical.
 
@@ -106,15 +164,14 @@ def same_names(people: DataFrame) -> DataFrame:
     take part in no pair; null or stand-in contacts are no context; repeated row_ids count once; an empty table gives
     no pairs.
     """
-    scratch = Scratch(people.sparkSession)
-    base = people.select(F.col("row_id").cast("long").alias("id"), "name", "phone", "email", "address", "zip").dropDuplicates(["id"])
-    known = contacts(base.withColumn("town", F.lit(None).cast("string")), scratch)
-    group = entities(known, scratch).select(F.col("row_id").alias("id"), "group_id").join(known.select("id", "form"), "id")
-    text = scratch.cut(group.join(base.select("id", F.xxhash64("name").alias("spelling")), "id"))
-    several = text.groupBy("group_id").agg(F.min("spelling").alias("a"), F.max("spelling").alias("b")).where("a <> b").select("group_id")
-    text = text.join(several, "group_id", "left_semi")
+    text, agree = _grouped(people, Scratch(people.sparkSession))
     left = text.select("group_id", F.col("id").alias("left_row_id"), F.col("spelling").alias("ls"), F.col("form").alias("lf"))
     right = text.select("group_id", F.col("id").alias("right_row_id"), F.col("spelling").alias("rs"), F.col("form").alias("rf"))
-    pairs = left.join(right, "group_id").where("left_row_id < right_row_id AND ls <> rs")
-    # a chain of spellings may have joined relatives: pairs that contradict each other are taken out again
-    return pairs.where(~differ("lf", "rf")).select("left_row_id", "right_row_id")
+    return left.join(right, "group_id").where("left_row_id < right_row_id AND ls <> rs").join(agree, ["lf", "rf"], "left_semi").select("left_row_id", "right_row_id")
+
+
+def name_members(people: DataFrame) -> DataFrame:
+    """(row_id, group_id, spellings): the form of :func:`same_names` that grows with the rows and not with their pairs; spellings counts the distinct name texts of the group."""
+    text, _ = _grouped(people, Scratch(people.sparkSession))
+    size = text.select("group_id", "spelling").distinct().groupBy("group_id").agg(F.count("*").alias("spellings"))
+    return text.join(size, "group_id").select(F.col("id").alias("row_id"), "group_id", "spellings")
