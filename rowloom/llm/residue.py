@@ -1,10 +1,14 @@
 """Problem 3: template residue, filler, error pages and script notices in collected records and warnings.
 
-Every text of every element is cut into lines. Lines are counted in normalised form by host; a line that recurs in a
-large share of a host's elements beside other content is that site's boilerplate and is subtracted. An element is a
-case if what remains of any of its fields holds evidence: an unfilled placeholder, a leftover script value, filler, an
-error page or a notice that scripts, cookies or another browser are needed. Evidence is searched inside the JVM; only
-lines that hold some are joined with the counts.
+Every text of every element is cut into lines, and lines are counted in normalised form by host. A line that recurs on
+a host beside ever different content, and gives nothing away itself, is that site's boilerplate (navigation, footers,
+references) and is subtracted. An element is a case if the residual of any of its fields holds evidence: an unfilled
+placeholder, a leftover script value, filler, an error page or a notice that scripts, cookies or another browser are
+needed. Evidence that an honest text may hold too (a bare script value, a status number, a word of an error page) counts
+only where it is the whole residual, so the counts decide it. A notice that recurs is a notice every time: lines with
+evidence are never boilerplate.
+
+Evidence is searched once per distinct line of a kind, whatever the number of hosts and elements that show it.
 """
 
 from __future__ import annotations
@@ -12,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowloom.runtime import Scratch, one_per
+
 RECORD_FIELDS = ("title", "description", "price", "author", "source_url")
 
 # Names of template fields, filler words, and the phrases of error pages and notices by language.
@@ -49,50 +55,69 @@ ABOUT = r"(?i)mail merge|\bsyntax\b|style guide|\btutorial\b|\bessay on\b|\bhand
 
 def _lines(text: Column) -> Column:
     """Lines of a text: tags, notice marks and the name of the site taken off, cut at line ends and after sentence ends."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"</?[a-zA-Z][^<>]{0,80}>", " "), r"[\r\n]+|(?<=[.!?。！？…])\s+", "\u0001")
+    bare = F.regexp_replace(F.regexp_replace(text, r"</?[a-zA-Z][^<>]*>", " "), r"[\r\n]+|(?<=[.!?。！？…])\s+", "\u0001")
     return F.filter(F.transform(F.split(bare, "\u0001"), lambda x: F.trim(F.regexp_replace(x, r"^\s*((?i:notice|error|warning|hinweis):\s+|!\s+)+", ""))), lambda x: x != "")
 
 
-def _evidence(line: Column, whole: Column, name: Column) -> Column:
-    """What a line gives away, or null. whole: the line is all of its field."""
-    bare = F.regexp_replace(line, CHROME, "")
-    plain = F.trim(F.regexp_replace(F.regexp_replace(bare, r"^[\p{L}]+ \| ", ""), r" [-|–] [\p{L}]+$", ""))
-    about = line.rlike(ABOUT)
-    return (
-        F.when(line.rlike(PLACEHOLDER) & ~about, "placeholder")
-        .when(name == "source_url", F.lit(None).cast("string"))
-        .when(whole & line.rlike(r"^\$?\s*(undefined|NaN|null|None|\[object Object\]|-?Infinity)$"), "script value")
-        .when(about, F.lit(None).cast("string"))
-        .when(plain.rlike(rf"(?i)^(\W*({LATIN_FILLER})\b){{2,}}\W*$") | plain.rlike(rf"(?i)^(\W*\b({KEYBOARD_FILLER})\b)+\W*$"), "filler")
-        .when(whole & (name == "title") & plain.rlike(r"^[45]\d\d$"), "error page")
+def _plain(line: Column) -> Column:
+    """A line without appended navigation and without the name of its site."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(line, CHROME, ""), r"^[\p{L}]+ \| ", ""), r" [-|–] [\p{L}]+$", ""))
+
+
+def _evidence(line: Column, plain: Column, about: Column, part: Column) -> tuple[Column, Column]:
+    """What a line gives away wherever it stands, and what it gives away only as the whole residual of its field; null if nothing. part: title, source_url or another field."""
+    url = part == "source_url"
+    open_mark = F.when(line.rlike(PLACEHOLDER) & ~about, "placeholder")
+    anywhere = (
+        F.when(plain.rlike(rf"(?i)^(\W*({LATIN_FILLER})\b){{2,}}\W*$") | plain.rlike(rf"(?i)^(\W*\b({KEYBOARD_FILLER})\b)+\W*$"), "filler")
         .when(plain.rlike(rf"(?iu)^({WHOLE_LINES})\W*$"), "notice")
         .when(plain.rlike(rf"(?i)^((error|fehler|erreur|ошибка)\W*)?\d{{3}}\W*({HTTP_PHRASES})?\W*$") & plain.rlike(r"(?i)[a-zа-я]"), "error page")
         .when(plain.rlike(rf"(?i)^(({HTTP_PHRASES})\W*(\d{{3}})?|(error|fehler|erreur|ошибка)\W*\d{{3}})\W*$"), "error page")
         .when(plain.rlike("(?iu)" + "|".join(f"({p})" for p in PHRASES)), "notice")
     )
+    whole = F.when(line.rlike(r"^\$?\s*(undefined|NaN|null|None|\[object Object\]|-?Infinity)$"), "script value").when((part == "title") & plain.rlike(r"^[45]\d\d$"), "error page")
+    return F.coalesce(open_mark, F.when(~url & ~about, anywhere)), F.when(~url & ~about, whole)
 
 
-def residue(runs: DataFrame, *, share: float = 0.05, least: int = 20) -> DataFrame:
-    """(run_id, field_name, item_pos, evidence) of every element of ``records`` and ``warnings`` that holds residue in place of content.
-
-    runs: scrape_result; further columns are ignored. A line is a host's boilerplate if it occurs in at least ``least``
-    of its elements and a ``share`` of them, always beside other lines. Null arrays, elements and fields and blank texts
-    hold nothing; rows repeated under one run_id count once; null hosts are counted together. The evidence given is the
-    first by alphabet if an element shows several kinds.
-    """
+def _elements(runs: DataFrame) -> DataFrame:
+    """(run_id, host, field_name, item_pos, part, text) of every text of every element; rows repeated under one run_id count once."""
     host = F.coalesce(F.regexp_extract("source_url", r"^[a-z]+://([^/]+)", 1), F.lit(""))
-    base = runs.select("run_id", host.alias("host"), "records", "warnings").dropDuplicates(["run_id"])
+    base = one_per(runs.select("run_id", host.alias("host"), "records", "warnings"), ["run_id"])
     record = base.select("run_id", "host", F.lit("records").alias("field_name"), F.posexplode("records").alias("item_pos", "r")).where("r IS NOT NULL")
     texts = F.explode(F.array(*[F.struct(F.lit(f).alias("part"), F.col(f"r.{f}").alias("text")) for f in RECORD_FIELDS])).alias("t")
     record = record.select("run_id", "host", "field_name", "item_pos", texts).select("run_id", "host", "field_name", "item_pos", "t.part", "t.text")
     warning = base.select("run_id", "host", F.lit("warnings").alias("field_name"), F.posexplode("warnings").alias("item_pos", "text")).select("run_id", "host", "field_name", "item_pos", F.lit("warning").alias("part"), "text")
-    cut = record.unionByName(warning).where("text IS NOT NULL").withColumn("lines", _lines(F.col("text")))
-    line = cut.select("run_id", "host", "field_name", "item_pos", "part", F.explode("lines").alias("line"), (F.size("lines") == 1).alias("whole"))
-    shape = F.xxhash64(F.lower(F.regexp_replace("line", r"\d+", "0")))
-    counted = line.groupBy("host", shape.alias("shape")).agg(F.count("*").alias("n"), F.max("whole").alias("alone"))
-    # elements of a host: titles stand for records, so that no distinct count is needed
-    size = base.groupBy("host").agg(F.sum(F.greatest(F.size("records"), F.lit(0)) + F.greatest(F.size("warnings"), F.lit(0))).alias("elements"))
-    boilerplate = counted.where((F.col("n") >= least) & ~F.col("alone")).join(size, "host").where(F.col("n") >= share * F.col("elements")).select("host", "shape")
-    shown = line.withColumn("evidence", _evidence(F.col("line"), F.col("whole"), F.col("part"))).where("evidence IS NOT NULL").withColumn("shape", shape)
-    left = shown.join(boilerplate, ["host", "shape"], "left_anti")
-    return left.groupBy("run_id", "field_name", "item_pos").agg(F.min("evidence").alias("evidence"))
+    return record.unionByName(warning).where("text IS NOT NULL")
+
+
+def residue(runs: DataFrame, *, share: float = 0.02, beside: int = 3) -> DataFrame:
+    """(run_id, field_name, item_pos, evidence) of every element of ``records`` and ``warnings`` that holds residue in place of content.
+
+    runs: scrape_result; further columns are ignored. A line without evidence is a host's boilerplate if it stands beside
+    at least ``beside`` different neighbours, is never a field by itself, and makes up a ``share`` of the host's fields.
+    Null arrays, elements and fields and blank texts hold nothing; rows repeated under one run_id count once; null hosts
+    are counted together. The evidence given is the first by alphabet if an element shows several kinds.
+    """
+    scratch = Scratch(runs.sparkSession)
+    shape = F.lower(F.regexp_replace("line", r"\d+", "0"))
+    kind = F.when(F.col("part").isin("title", "source_url"), F.col("part")).otherwise("text")
+    fields = _elements(runs).withColumn("lines", _lines(F.col("text"))).where(F.size("lines") > 0)
+    line = scratch.cut(fields.select("run_id", "host", "field_name", "item_pos", "part", kind.alias("kind"), F.size("lines").alias("of"), F.posexplode("lines").alias("k", "line"), F.xxhash64("lines").alias("beside")))
+    # each distinct line is looked at once; what is needed several times is made in its own step
+    distinct = scratch.cut(line.select("kind", "line").distinct().select("kind", "line", F.explode(F.array(F.struct(_plain(F.col("line")).alias("plain"), F.col("line").rlike(ABOUT).alias("about")))).alias("p")).select("kind", "line", "p.plain", "p.about"))
+    anywhere, whole = _evidence(F.col("line"), F.col("plain"), F.col("about"), F.col("kind"))
+    judged = scratch.cut(distinct.select("kind", "line", anywhere.alias("anywhere"), whole.alias("whole")).where("anywhere IS NOT NULL OR whole IS NOT NULL"))
+    scratch.drop(distinct)
+    sure = line.join(judged.where("anywhere IS NOT NULL"), ["kind", "line"]).select("run_id", "field_name", "item_pos", F.col("anywhere").alias("evidence"))
+    # what counts only as the whole residual: fields whose other lines are all boilerplate
+    maybe = line.join(judged.where("anywhere IS NULL"), ["kind", "line"]).select("run_id", "host", "field_name", "item_pos", "part", "of", "k", F.col("whole").alias("evidence"))
+    bare = maybe.where("of = 1").select("run_id", "field_name", "item_pos", "evidence")
+    beside_it = maybe.where("of > 1")
+    counted = line.groupBy("host", shape.alias("shape")).agg(F.count("*").alias("n"), F.min("of").alias("least"), F.approx_count_distinct("beside", 0.05).alias("different"))
+    size = fields.groupBy("host").agg(F.count("*").alias("fields"))
+    plain_shapes = counted.where((F.col("least") > 1) & (F.col("different") >= beside)).join(size, "host").where(F.col("n") >= share * F.col("fields")).select("host", "shape", F.lit(True).alias("boilerplate"))
+    others = line.where("of > 1").join(beside_it.select("run_id", "field_name", "item_pos", "part").distinct(), ["run_id", "field_name", "item_pos", "part"], "left_semi").withColumn("shape", shape).join(plain_shapes, ["host", "shape"], "left")
+    left = others.groupBy("run_id", "field_name", "item_pos", "part").agg(F.count_if(F.col("boilerplate").isNull()).alias("left"))
+    rest = beside_it.join(left.where("left <= 1"), ["run_id", "field_name", "item_pos", "part"]).select("run_id", "field_name", "item_pos", "evidence")
+    found = sure.unionByName(bare).unionByName(rest)
+    return found.groupBy("run_id", "field_name", "item_pos").agg(F.min("evidence").alias("evidence"))

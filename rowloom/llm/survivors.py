@@ -1,34 +1,35 @@
 """Problem 4: the best row of each duplicate group for every field, by currency reasoning.
 
 Within a group and a field the usable values form a partial order. A row outranks another for certain when its
-timestamp is later AND its dataset is more trusted. Where timestamps are missing, value-transition precedence learned
-from all timestamped groups steps in: how often values of one shape (for instance a formatted phone, a full given name)
-replaced values of another shape later. A shape that follows another significantly more often than it precedes it
-outranks it. The topologically latest row is taken: the one that is outranked by no other and outranks most.
+timestamp is later AND its dataset is more trusted. Where a timestamp is missing, value-transition precedence learned
+from all timestamped groups steps in: how often all values of one shape (for instance a formatted phone, a full given
+name) were replaced by values of another shape later. A shape that follows another significantly more often than it
+precedes it is newer. Precedence is only asked about pairs of rows of which one has no timestamp, and only about rows
+that no other outranks for certain, so it never overrules certain order; cycles between shapes are cut. What is left
+without a successor is topologically latest.
+
+All of this is decided from extremes and small sets per group that are partially aggregated: the latest time per trust
+level (bounded by the number of datasets) and the shapes that occur (a fixed, small set). No two rows of a group are
+ever compared with each other, so a giant group is as cheap as many small ones.
 
 A reviewer's override that is in effect beats all reasoning.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowloom.runtime import Scratch
+from rowloom.llm.parse import STAND_INS
+from rowloom.runtime import Scratch, one_per
 
 FIELDS = ("name", "phone", "address", "zip")
 
-# Texts that stand in for a missing value, after lower-casing and trimming.
-STAND_INS = (
-    "-", "--", "---", "?", "??", ".", "n/a", "na", "n.a.", "none", "null", "nil", "nan", "unknown", "not available", "no name", "no address", "not known", "unavailable",
-    "on file", "same", "same as above", "tbd", "tba", "test", "test test", "x", "xx", "xxx", "xxxx", "asdf", "blank", "empty", "missing", "pending", "not provided", "not given",
-)
-
 
 def usable(value: Column, field: str) -> Column:
     """Not null, not blank and no stand-in for a missing value."""
-    bare = F.lower(F.regexp_replace(value, r"^[\s ]+|[\s ]+$", ""))
-    good = (bare != "") & ~bare.isin(*STAND_INS)
+    bare = F.lower(F.regexp_replace(value, r"^[\s ]+|[\s ]+$", ""))
+    good = (bare != "") & ~bare.isin(*sorted(STAND_INS))
     if field in ("phone", "zip"):
         digits = F.regexp_replace(bare, r"\.0$", "") if field == "zip" else bare
         digits = F.regexp_replace(digits, r"[^0-9]", "")
@@ -42,7 +43,7 @@ def usable(value: Column, field: str) -> Column:
 def member_ids(column: str | Column) -> Column:
     """Ids of a ';'-separated list as array<bigint>; what is no id is left out."""
     parts = F.split(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")), ";")
-    return F.array_distinct(F.array_compact(F.transform(parts, lambda x: F.regexp_replace(x, r"[\s ]", "").try_cast("bigint"))))
+    return F.array_distinct(F.array_compact(F.transform(parts, lambda x: F.regexp_replace(x, r"[\s ]", "").try_cast("bigint"))))
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def groups_of(rows: DataFrame) -> DataFrame:
 
 
 def _shape(value: Column, field: str) -> Column:
-    """A coarse form of a value; precedence is learned between forms."""
+    """A coarse form of a value, one of at most 100 for a field; precedence is learned between forms."""
     bare = F.trim(value)
     case = F.when(F.upper(bare) == bare, "U").when(F.lower(bare) == bare, "L").otherwise("M")
     if field == "phone":
@@ -64,67 +65,95 @@ def _shape(value: Column, field: str) -> Column:
     return F.concat(case, words, initial, F.when(bare.contains(","), "c").otherwise(""))
 
 
-def survivors(rows: DataFrame, overrides: DataFrame, datasets: DataFrame, *, least_seen: int = 20, lead: float = 0.6) -> DataFrame:
+def acyclic(edges: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """The (field, older, newer) edges that lie on no cycle: those whose newer end does not lead back to the older one."""
+    after: dict[tuple[str, str], set[str]] = {}
+    for field, older, newer in edges:
+        after.setdefault((field, older), set()).add(newer)
+
+    def leads(field: str, start: str, goal: str) -> bool:
+        seen, todo = {start}, [start]
+        while todo:
+            for nxt in after.get((field, todo.pop()), ()):
+                if nxt == goal:
+                    return True
+                if nxt not in seen:
+                    seen.add(nxt)
+                    todo.append(nxt)
+        return False
+
+    return [(f, a, b) for f, a, b in edges if not leads(f, b, a)]
+
+
+def learn_precedence(values: DataFrame, *, least_z: float = 2.58) -> list[tuple[str, str, str]]:
+    """(field, older shape, newer shape) learned from timestamped cells: in significantly more of them all values of the one came before all values of the other than the other way round.
+
+    values: (group_id, column_name, shape, updated_at). Significance is a binomial z of ``least_z``. At most 100 shapes a field: the list is small whatever the input.
+    """
+    span = values.where("updated_at IS NOT NULL").groupBy("group_id", "column_name", "shape").agg(F.min("updated_at").alias("lo"), F.max("updated_at").alias("hi"))
+    cell = span.groupBy("group_id", "column_name").agg(F.collect_list(F.struct("shape", "lo", "hi")).alias("s")).where(F.size("s") > 1)
+    p = cell.select("column_name", F.explode("s").alias("p"), "s").select("column_name", "p", F.explode("s").alias("q")).where("p.shape <> q.shape AND p.hi < q.lo")
+    moves = p.groupBy("column_name", F.least("p.shape", "q.shape").alias("a"), F.greatest("p.shape", "q.shape").alias("b")).agg(F.count_if(F.col("p.shape") < F.col("q.shape")).alias("up"), F.count("*").alias("n"))
+    z = (2 * F.col("up") - F.col("n")) / F.sqrt("n")
+    found = moves.where(F.abs(z) >= least_z).select("column_name", F.when(z > 0, F.col("a")).otherwise(F.col("b")).alias("older"), F.when(z > 0, F.col("b")).otherwise(F.col("a")).alias("newer"))
+    return acyclic(sorted((r["column_name"], r["older"], r["newer"]) for r in found.collect()))
+
+
+def survivors(rows: DataFrame, overrides: DataFrame, datasets: DataFrame, *, least_z: float = 2.58) -> DataFrame:
     """(group_id, column_name, row_id, basis) for every group of two or more rows and every field with a usable value or an override.
 
     rows: people_export; overrides: canonical_overrides; datasets: (dataset_id, trust_rank). Further columns are
     ignored. basis tells what decided: ``override`` (the latest one in effect that names a row of the group, ties by
     override_id), ``dominant`` (one usable row beats every other in timestamp and trust, or is the only one),
-    ``currency`` (topologically latest by certain and learned precedence), ``tie`` (several rows are latest and the
-    most trusted, newest, smallest row_id of them was taken). Learned precedence needs ``least_seen`` transitions of
-    which a share of ``lead`` goes one way. Null timestamps and unknown datasets never outrank; rows repeated under one
-    row_id count once; lists naming missing rows are served by the rows that exist.
+    ``currency`` (the only topologically latest row by certain and learned precedence), ``tie`` (several are; the newest,
+    most trusted, smallest row_id of them is taken, rows without time last). Null timestamps and unknown datasets never
+    outrank; rows repeated under one row_id count once; lists naming missing rows are served by the rows that exist.
     """
-    scratch = Scratch(rows.sparkSession)
+    spark = rows.sparkSession
+    scratch = Scratch(spark)
     members = groups_of(rows)
-    kept = rows.select("row_id", "dataset_id", "updated_at", *FIELDS).dropDuplicates(["row_id"])
-    trust = datasets.select("dataset_id", F.col("trust_rank").cast("int").alias("trust")).dropDuplicates(["dataset_id"])
-    # the catalogue of datasets is broadcast only while it is small: Spark knows its size from the file
-    member = scratch.cut(members.join(kept, "row_id").join(trust, "dataset_id", "left").select("group_id", "row_id", "updated_at", "trust", *FIELDS))
-    values = member.select(
-        "group_id", "row_id", "updated_at", "trust",
-        F.explode(F.array(*[F.struct(F.lit(f).alias("column_name"), usable(F.col(f), f).alias("ok"), _shape(F.col(f), f).alias("shape")) for f in FIELDS])).alias("e"),
-    ).select("group_id", "row_id", "updated_at", "trust", "e.column_name", "e.ok", "e.shape").where("ok")
-    values = scratch.cut(values)
-    cell = Window.partitionBy("group_id", "column_name")
-
-    # learned precedence, from consecutive timestamped values of a cell that differ in shape
-    prior = Window.partitionBy("group_id", "column_name").orderBy("updated_at", "row_id")
-    moves = (
-        values.where("updated_at IS NOT NULL").withColumn("was", F.lag("shape").over(prior)).withColumn("was_at", F.lag("updated_at").over(prior))
-        .where("was <> shape AND was_at < updated_at").groupBy("column_name", F.least("was", "shape").alias("p"), F.greatest("was", "shape").alias("q"))
-        .agg(F.count_if(F.col("was") < F.col("shape")).alias("up"), F.count("*").alias("n"))
-    )
-    learned = moves.where((F.col("n") >= least_seen) & (F.greatest(F.col("up"), F.col("n") - F.col("up")) >= lead * F.col("n")))
-    forward = F.col("up") * 2 >= F.col("n")
-    learned = learned.select("column_name", F.when(forward, F.col("p")).otherwise(F.col("q")).alias("older"), F.when(forward, F.col("q")).otherwise(F.col("p")).alias("newer"))
-    # rank of a shape by the learned order: how many shapes it follows less how many follow it (the shapes are a fixed, small set)
-    rank = learned.select("column_name", F.explode(F.array(F.struct(F.col("newer").alias("shape"), F.lit(1).alias("d")), F.struct(F.col("older").alias("shape"), F.lit(-1).alias("d")))).alias("e")).groupBy("column_name", "e.shape").agg(F.sum("e.d").alias("late"))
-
-    # A row that outranks every other for certain has both the strictly latest time and the strictly best trust: extremes
-    # and their multiplicities, all partially aggregated, decide this without comparing pairs.
+    kept = one_per(rows.select("row_id", "dataset_id", "updated_at", *FIELDS), ["row_id"])
+    trust = datasets.groupBy("dataset_id").agg(F.min(F.col("trust_rank").cast("int")).alias("trust"))
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("column_name"), usable(F.col(f), f).alias("ok"), F.when(usable(F.col(f), f), _shape(F.col(f), f)).alias("shape")) for f in FIELDS])).alias("e")
+    # values are looked at once a row, before the lists; only shapes travel
+    shaped = kept.join(trust, "dataset_id", "left").select("row_id", "updated_at", "trust", cells).where("e.ok").select("row_id", "updated_at", "trust", "e.column_name", "e.shape")
+    values = scratch.cut(members.join(shaped, "row_id"))
+    learned = learn_precedence(values, least_z=least_z)
+
+    # certain order: a row is outranked if a better trust level has a later time; it dominates if its time and its trust are both strictly the best
+    level = values.where("trust IS NOT NULL").groupBy("group_id", "column_name", "trust").agg(F.max("updated_at").alias("last"))
+    levels = level.groupBy("group_id", "column_name").agg(F.collect_list(F.struct("trust", "last")).alias("levels"))
     tops = values.groupBy("group_id", "column_name").agg(
         F.count("*").alias("n"), F.count("updated_at").alias("n_at"), F.count("trust").alias("n_trust"), F.max("updated_at").alias("last"), F.min("trust").alias("best")
     )
-    ranked = values.join(rank, ["column_name", "shape"], "left").join(tops, ["group_id", "column_name"])
-    is_last = F.coalesce(F.col("updated_at") == F.col("last"), F.lit(False))
-    is_best = F.coalesce(F.col("trust") == F.col("best"), F.lit(False))
-    ranked = ranked.withColumn("is_last", is_last).withColumn("is_best", is_best)
-    n_last = F.count_if("is_last").over(cell)
-    n_best = F.count_if("is_best").over(cell)
-    complete = (F.col("n_at") == F.col("n")) & (F.col("n_trust") == F.col("n"))
-    dominant = (F.col("n") == 1) | (F.col("is_last") & F.col("is_best") & (n_last == 1) & (n_best == 1) & complete)
-    # topological order: timed rows by time; a row without time stands where its shape's learned rank puts it
-    timed = F.col("n_at") == F.col("n")
-    key = F.struct(F.when(timed, F.lit(0)).otherwise(F.coalesce("late", F.lit(0))).alias("a"), F.col("updated_at").alias("b"), (-F.coalesce("trust", F.lit(1 << 30))).alias("c"), (-F.col("row_id")).alias("d"))
-    chosen = ranked.withColumn("dominant", dominant).withColumn("key", key).groupBy("group_id", "column_name").agg(
-        F.max_by("row_id", F.struct("dominant", "key")).alias("row_id"), F.max("dominant").alias("dominant"), F.max("n").alias("n"), F.max("n_at").alias("n_at"), F.count_if("is_last").alias("n_last")
-    )
-    basis = F.when(F.col("dominant"), "dominant").when((F.col("n_at") < F.col("n")) | (F.col("n_last") == 1), "currency").otherwise("tie")
-    reasoned = chosen.select("group_id", "column_name", F.col("row_id").alias("reasoned"), basis.alias("basis"))
+    ranked = values.join(tops.join(levels, ["group_id", "column_name"], "left"), ["group_id", "column_name"])
+    beaten = F.coalesce(F.exists("levels", lambda t: (t["trust"] < F.col("trust")) & (t["last"] > F.col("updated_at"))), F.lit(False))
+    front = scratch.cut(ranked.where(~beaten).select("group_id", "column_name", "row_id", "updated_at", "trust", "shape", "n", "n_at", "n_trust", "last", "best"))
+
+    # learned order among what is left: untimed rows against all, timed rows against untimed ones
+    newer: dict[tuple[str, str], list[str]] = {}
+    for field, a, b in learned:
+        newer.setdefault((field, a), []).append(b)
+    table = [(f, a, b) for (f, a), b in sorted(newer.items())]
+    after = spark.createDataFrame(table, "column_name string, shape string, newer array<string>")
+    open_cells = front.where("n_at < n").groupBy("group_id", "column_name").agg(F.collect_set("shape").alias("shapes"), F.collect_set(F.when(F.col("updated_at").isNull(), F.col("shape"))).alias("untimed"))
+    left = front.join(open_cells, ["group_id", "column_name"], "left").join(F.broadcast(after), ["column_name", "shape"], "left")  # at most 100 shapes a field
+    rivals = F.when(F.col("updated_at").isNull(), F.col("shapes")).otherwise(F.col("untimed"))
+    latest = left.where(~F.coalesce(F.arrays_overlap("newer", rivals), F.lit(False)))
 
-    field = F.lower(F.regexp_replace("column_name", r"[\s ]", ""))
+    complete = (F.col("n_at") == F.col("n")) & (F.col("n_trust") == F.col("n"))
+    is_last, is_best = F.coalesce(F.col("updated_at") == F.col("last"), F.lit(False)), F.coalesce(F.col("trust") == F.col("best"), F.lit(False))
+    # strictly best in both: no other row of the cell has the last time or the best trust; counted over all rows, whether outranked or not
+    ends = ranked.groupBy("group_id", "column_name").agg(F.count_if(is_last).alias("n_last"), F.count_if(is_best).alias("n_best"))
+    key = F.struct(F.col("updated_at").isNotNull().alias("timed"), F.col("updated_at").alias("at"), (-F.coalesce("trust", F.lit(1 << 30))).alias("trust"), (-F.col("row_id")).alias("id"))
+    both_ends = F.max(is_last & is_best & complete).alias("both")
+    chosen = latest.groupBy("group_id", "column_name").agg(F.max_by("row_id", key).alias("reasoned"), F.count("*").alias("left"), F.max("n").alias("n"), both_ends).join(ends, ["group_id", "column_name"])
+    basis = F.when((F.col("n") == 1) | (F.col("both") & (F.col("n_last") == 1) & (F.col("n_best") == 1)), "dominant").when(F.col("left") == 1, "currency").otherwise("tie")
+    reasoned = chosen.select("group_id", "column_name", "reasoned", basis.alias("basis"))
+
+    field = F.lower(F.regexp_replace("column_name", r"[\s ]", ""))
     valid = overrides.where("revoked_at IS NULL").select(field.alias("column_name"), F.col("row_id").cast("long").alias("row_id"), "created_at", "override_id").where(F.col("column_name").isin(*FIELDS))
-    named = valid.join(member.select("row_id", "group_id"), "row_id").groupBy("group_id", "column_name").agg(F.max_by("row_id", F.struct("created_at", "override_id")).alias("named"))
+    present = members.join(kept.select("row_id"), "row_id", "left_semi")
+    named = valid.join(present, "row_id").groupBy("group_id", "column_name").agg(F.max_by("row_id", F.struct("created_at", "override_id")).alias("named"))
     both = reasoned.join(named, ["group_id", "column_name"], "full")
     return both.select("group_id", "column_name", F.coalesce("named", "reasoned").alias("row_id"), F.when(F.col("named").isNotNull(), "override").otherwise(F.col("basis")).alias("basis"))
