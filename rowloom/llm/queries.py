@@ -55,7 +55,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     decided = decided.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     decided = decided.join(known.withColumnRenamed("id", "a"), "a", "left_semi").join(known.withColumnRenamed("id", "b"), "b", "left_semi")
     # members that exist, each linked to the smallest member of its list that exists
-    named = lists.select(F.xxhash64("ids").alias("list"), F.explode("ids").alias("id")).join(known, "id", "left_semi")
+    named = lists.select(F.md5(F.array_join("ids", ";")).alias("list"), F.explode("ids").alias("id")).join(known, "id", "left_semi")
     first = named.groupBy("list").agg(F.min("id").alias("a"))
     listed = named.join(first, "list").where("a <> id").select("a", F.col("id").alias("b"))
     return group_linked(decided.unionByName(listed), "a", "b")
@@ -98,6 +98,34 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_containers(sizes, table(spark, sf_dir, "context_windows"))
 
 
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of every capacity are."""
+    from rowloom.llm.packing import fill_report
+
+    return fill_report(p9_containers(spark, sf_dir), table(spark, sf_dir, "context_windows"))
+
+
+def p1_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate places of rows whose address leaves open which one is meant."""
+    from rowloom.llm.places import open_candidates
+
+    return open_candidates(table(spark, sf_dir, "people_export"))
+
+
+def p1_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every row, with the number of its rows and spellings."""
+    from rowloom.llm.places import place_members
+
+    return place_members(table(spark, sf_dir, "people_export"))
+
+
+def p2_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entity of every row, with the number of its spellings."""
+    from rowloom.llm.names import name_members
+
+    return name_members(table(spark, sf_dir, "people_export"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentence units of every document."""
     from rowloom.llm.sentences import sentence_units
@@ -106,7 +134,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_survivors, p5_found, p6_found, p6_links, p8_ids, p9_containers, p10_found)}
+    return {f.__name__: f for f in (p1_found, p1_candidates, p1_places, p2_found, p2_entities, p3_found, p4_found, p4_survivors, p5_found, p6_found, p6_links, p8_ids, p9_containers, p9_fill, p10_found)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -80,7 +80,7 @@ class Bpe:
                 continue
             parts = self._merge(b, t)
             left[t], right[t] = parts
-            merge[parts[0] * 65536 + parts[1]] = t
+            merge[parts[0] * n + parts[1]] = t
         self.left, self.right = left, right
         keys = np.array(sorted(merge), np.int64)
         self.pair, self.merged = keys, np.array([merge[k] for k in keys.tolist()], np.int64)
@@ -134,7 +134,7 @@ class Bpe:
         at = np.arange(len(a))
         a, b, limit = a.copy(), b.copy(), np.full(len(a), 1 << 40)
         while len(at):
-            j, hit = self._look(self.pair, a * 65536 + b)
+            j, hit = self._look(self.pair, a * len(self.left) + b)
             bad = hit & (self.merged[j] < limit)
             ok[at[bad]] = False
             undo_left = a > b
