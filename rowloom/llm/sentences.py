@@ -3,8 +3,10 @@
 One pass over all texts counts, by language, how often each word is written with and without a final period, which
 words follow a period, in which case words stand inside sentences, and, for scripts that end no sentence with a mark,
 which word beginnings open a line. Log-likelihood ratios over these counts give the abbreviations, the sentence
-starters and the collocations of numbers; only these short lists travel to the second pass, which classifies every
-period (and, in Thai, every space) with them. Quotations and brackets are stepped over as a whole.
+starters and the collocations (an ordinal number and its noun, a word and the figures that follow its period). An entry
+must make up a share of its language's words, so the lists are bounded by the share and not by the corpus; they travel
+to the second pass, which classifies every period (and, in Thai, every space) with them. Quotations and brackets of any
+length are stepped over as a whole.
 """
 
 from __future__ import annotations
@@ -13,9 +15,10 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowloom.runtime import Scratch
@@ -37,22 +40,20 @@ _STRIP = "\"“”„«»‘’'()[]{}「」『』（）,;:¿¡*"
 _LATIN = {w: k for k in reversed(COMMON) for w in COMMON[k].split()}
 
 
+_SCRIPTS = {k: re.compile(f"[{v}]+") for k, v in {"ja": "\u3040-\u30ff", "zh": "\u4e00-\u9fff", "th": "\u0e00-\u0e7f", "hi": "\u0900-\u097f", "ar": "\u0600-\u06ff", "ru": "\u0400-\u04ff", "ko": "\uac00-\ud7a3"}.items()}
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
 def language(text: str, given: str | None) -> str:
     """Language of a stretch of text: by script, in Latin by its frequent words, else as given."""
-    counts: Counter[str] = Counter()
-    for c in text:
-        o = ord(c)
-        if o < 0x250:
-            continue
-        counts["ja" if 0x3040 <= o <= 0x30FF else "zh" if 0x4E00 <= o <= 0x9FFF else "th" if 0xE00 <= o <= 0xE7F else "hi" if 0x900 <= o <= 0x97F else "ar" if 0x600 <= o <= 0x6FF else "ru" if 0x400 <= o <= 0x4FF else "ko" if 0xAC00 <= o <= 0xD7A3 else ""] += 1
-    del counts[""]
-    if counts:
+    if not text.isascii():
+        counts = {k: sum(map(len, r.findall(text))) for k, r in _SCRIPTS.items()}
         if counts["ja"] and counts["ja"] * 8 >= counts["zh"]:
             return "ja"
-        best, n = counts.most_common(1)[0]
-        if n * 5 >= len(text.replace(" ", "")):
+        best = max(counts, key=counts.__getitem__)
+        if counts[best] and counts[best] * 5 >= len(text) - text.count(" "):
             return best
-    votes = Counter(_LATIN[w] for w in re.findall(r"[^\W\d_]+", text.lower()) if w in _LATIN)
+    votes = Counter(_LATIN[w] for w in _LETTERS.findall(text.lower()) if w in _LATIN)
     if votes and votes.most_common(1)[0][1] >= 2:
         return votes.most_common(1)[0][0]
     given = (given or "").split("-")[0].lower()
@@ -105,36 +106,53 @@ def blocks(text: str) -> Iterator[tuple[int, int, bool]]:
             yield g[start][0], g[-1][1], False
 
 
+@lru_cache(maxsize=1 << 17)
 def _norm(word: str) -> str:
     return unicodedata.normalize("NFC", word.lower())
 
 
+_FEW_DIGITS = re.compile(r"\d{1,2}")
+_FIGURES = re.compile(r"[\d.,:/–-]+%?")
+
+
+@lru_cache(maxsize=1 << 17)
 def _kind(token: str) -> str:
     """Type of a word before a period: lower case, numbers as classes."""
     t = _norm(token).strip(_STRIP)
-    if re.fullmatch(r"\d{1,2}", t):
-        return "#2"
-    if re.fullmatch(r"[\d.,:/–-]+%?", t):
-        return "#"
-    return t
-
-
-def _match(text: str, i: int, e: int) -> int:
-    """Position of the mark that closes the one at i, or -1."""
-    c = text[i]
-    close = OPEN[c]
-    if c == '"' and i + 1 < e and text[i + 1].isspace():
-        return -1
-    depth = 1
-    for j in range(i + 1, min(e, i + 600)):
-        d = text[j]
-        if d in close and not (c == "‘" and text[j + 1 : j + 2].isalpha()):
-            depth -= 1
-            if not depth:
-                return j
-        elif d == c and c not in "\"„":
-            depth += 1
-    return -1
+    return "#2" if _FEW_DIGITS.fullmatch(t) else "#" if _FIGURES.fullmatch(t) else t
+
+
+def _closings(text: str, s: int, e: int, c: str) -> dict[int, int]:
+    """Position of the closing mark of every opening mark c between s and e that has one, in one pass."""
+    close, out, stack = OPEN[c], {}, []
+    for m in re.compile(f"[{re.escape(c + close)}]").finditer(text, s, e):
+        i, d = m.start(), m[0]
+        if d in close and stack and not (c == "‘" and text[i + 1 : i + 2].isalpha()):
+            if c in '"„':  # no nesting: all that wait for a mark get this one
+                for j in stack:
+                    out[j] = i
+                stack = []
+            else:
+                out[stack.pop()] = i
+        if d == c and (d not in close or c == '"') and not (c == '"' and i + 1 < e and text[i + 1].isspace()):
+            stack.append(i)
+    return out
+
+
+@lru_cache(maxsize=1 << 17)
+def _look(w: str) -> tuple[str, str, str, bool, bool, str]:
+    """What the statistics need of a written word: (core, its kind, its normal form, ends a sentence, has a plain period, case)."""
+    bare = w.strip(_STRIP)
+    core = bare.rstrip(".…!?")
+    dotted = bare.endswith(".") and not bare.endswith("..") and w[-1] not in CLOSERS
+    case = ("lower" if core[0].islower() else "upper") if core and core[0].isalpha() else ""
+    return core, _kind(core) if core else "", _norm(core), bool(bare) and bare[-1] in ENDS, dotted, case
+
+
+@lru_cache(maxsize=1 << 17)
+def _follower(w: str) -> str:
+    nxt = w.strip(_STRIP).rstrip(".,!?…")
+    return nxt and ("U" if nxt[0].isupper() else "l" if nxt[0].islower() else "0") + _norm(nxt)
 
 
 def observe(texts: list[tuple[str | None, str | None]]) -> Counter:
@@ -147,39 +165,44 @@ def observe(texts: list[tuple[str | None, str | None]]) -> Counter:
             seg = text[s:e]
             lang = language(seg, given)
             words = _WORD.findall(seg)
+            keys = []
             if lang == "th":
-                for k, w in enumerate(words):
-                    if "฀" <= w[0] <= "๿":
-                        n[lang, "open" if k == 0 else "inner", w[:4], ""] += 1
+                n.update((lang, "open" if k == 0 else "inner", w[:4], "") for k, w in enumerate(words) if "฀" <= w[0] <= "๿")
                 continue
-            before = "^"
+            before, last = "^", len(words) - 1
             for k, w in enumerate(words):
-                bare = w.strip(_STRIP)
-                if not bare:
-                    continue
-                stop = bare[-1] in ENDS
-                core = bare.rstrip(".…!?")
+                core, kind, norm, stop, dotted, case = _look(w)
                 if not core:
-                    before = "^"
+                    before = "^" if stop else before
                     continue
-                kind = _kind(core)
-                if bare.endswith(".") and not bare.endswith("..") and w[-1] not in CLOSERS:
-                    n[lang, "period", kind, ""] += 1
-                    if k + 1 < len(words):
-                        nxt = words[k + 1].strip(_STRIP).rstrip(".,!?…")
-                        if nxt:
-                            n[lang, "after", kind, ("U" if nxt[0].isupper() else "l" if nxt[0].islower() else "0") + _norm(nxt)] += 1
+                if dotted:
+                    keys.append((lang, "period", kind, ""))
+                    if k < last and (nxt := _follower(words[k + 1])):
+                        keys.append((lang, "after", kind, nxt))
                 else:
-                    n[lang, "plain", kind, ""] += 1
+                    keys.append((lang, "plain", kind, ""))
                 # the case of words that do not follow any mark
-                if before == "" and core[0].isalpha():
-                    n[lang, "lower" if core[0].islower() else "upper", _norm(core), ""] += 1
+                if not before and case:
+                    keys.append((lang, case, norm, ""))
                 if k == 0:
-                    n[lang, "first", _norm(core), ""] += 1
+                    keys.append((lang, "first", norm, ""))
                 before = "^" if stop or w[-1] in ":" + CLOSERS else ""
+            n.update(keys)
     return n
 
 
+_NEXT = re.compile(r"\s*(\S+)")
+_DOTTED = re.compile(r"(?:[^\W\d_]{1,3}\.)+[^\W\d_]{1,3}")
+_LETTER = re.compile(r"[^\W\d_]")
+_MARKS = re.compile("[" + re.escape("".join(OPEN) + ENDS) + "]")
+_THAI_GAP = re.compile(r"\s+(\S)")
+_TWO_LETTERS = re.compile(r"[^\W\d_]{2}$")
+_GLUED = re.compile(r"[^\W\d_]+(?:[,.!?;:]|$)")
+_NO_WORD = re.compile(r"[/@_\d]")
+_NOT_BLANK = re.compile(r"\S*")
+_FIGURE_IN = re.compile(r"[\d_]")
+
+
 class Model:
     """The short lists of one corpus: abbreviations, words that open a sentence after one, and openers of Thai sentences."""
 
@@ -196,7 +219,7 @@ class Model:
         while j > s and not text[j - 1].isspace() and text[j - 1] not in "([«“„「（":
             j -= 1
         token = text[j:i].strip(_STRIP)
-        m = re.compile(r"\s*(\S+)").match(text, i + 1, e)
+        m = _NEXT.match(text, i + 1, e)
         if not m:
             return True
         raw = m[1]
@@ -206,7 +229,7 @@ class Model:
             return not first.islower()
         kind = _kind(token)
         key = (lang, _norm(nxt))
-        if first.islower() and not re.search(r"[\d_]", nxt):
+        if first.islower() and not _FIGURE_IN.search(nxt):
             return False
         if first.isdigit() and (lang, kind) in self.number:
             return False
@@ -214,8 +237,8 @@ class Model:
             if kind == "#2" and (lang, _norm(nxt)) in self.ordinal:
                 return False
             return True
-        dotted = re.fullmatch(r"(?:[^\W\d_]{1,3}\.)+[^\W\d_]{1,3}", token) is not None
-        if re.fullmatch(r"[^\W\d_]", token) and token.isupper() or dotted or (lang, kind) in self.abbr:
+        dotted = _DOTTED.fullmatch(token) is not None
+        if _LETTER.fullmatch(token) and token.isupper() or dotted or (lang, kind) in self.abbr:
             if first.isdigit() or raw[0] in "§#&+":
                 return False
             if raw[0] in OPEN and not first.isupper():
@@ -242,22 +265,26 @@ class Model:
     def _cuts(self, text: str, s: int, e: int, lang: str) -> list[int]:
         cuts = []
         if lang == "th":
-            for m in re.compile(r"\s+(\S)").finditer(text, s, e):
+            for m in _THAI_GAP.finditer(text, s, e):
                 k = m.start(1)
                 if ("th", text[k : k + 4].split()[0]) in self.opens or text[m.start() - 1] in "!?" and m.start() > s:
                     cuts.append(k)
             return cuts
         i = s
-        while i < e:
+        closing: dict[str, dict[int, int]] = {}
+        while m := _MARKS.search(text, i, e):
+            i = m.start()
             c = text[i]
             if c in OPEN and (c not in "\"'‘»" or i == s or not text[i - 1].isalnum()):
-                j = _match(text, i, e)
+                if c not in closing:
+                    closing[c] = _closings(text, s, e, c)
+                j = closing[c].get(i, -1)
                 if j > 0:
                     inner = text[j - 1]
                     i = j + 1
                     # a quotation or bracket that holds its own end: the sentence goes on unless a new one begins after it
                     if inner in ENDS and i < e and text[i].isspace():
-                        m = re.compile(r"\s*(\S+)").match(text, i, e)
+                        m = _NEXT.match(text, i, e)
                         word = m[1].lstrip(_STRIP) if m else ""
                         if m and (word[:1].isupper() or word[:1].isdigit() or (m[1][0] in OPEN and not word[:1].islower()) or not word) and not self._speech(word, text, m.end(), lang):
                             cuts.append(i)
@@ -278,18 +305,18 @@ class Model:
                 if text[k] not in "，、；：,)）":
                     cuts.append(k)
             elif text[k].isspace():
-                nxt = re.compile(r"\s*(\S+)").match(text, k, e)
+                nxt = _NEXT.match(text, k, e)
                 first = nxt[1].lstrip(_STRIP)[:1] if nxt else ""
                 if run == ".":
                     if self.ends_at(text, s, i, e, lang) if k == j else not first.islower():
                         cuts.append(k)
                 elif nxt and not first.islower():
                     cuts.append(k)
-            elif run == "." and k == j and text[k].isupper() and re.search(r"[^\W\d_]{2}$", text[max(s, i - 2) : i]) and text[i - 1].islower():
+            elif run == "." and k == j and text[k].isupper() and _TWO_LETTERS.search(text[max(s, i - 2) : i]) and text[i - 1].islower():
                 # a blank was forgotten: a lower-case word, a period, and a capitalised word
                 a = max(text.rfind(" ", s, i), text.rfind("\n", s, i)) + 1
-                b = re.compile(r"\S*").match(text, k, e).end()
-                if not re.search(r"[/@_\d]", text[a : i]) and re.match(r"[^\W\d_]+(?:[,.!?;:]|$)", text[k:b]) and (lang, _kind(text[a:i])) not in self.abbr:
+                b = _NOT_BLANK.match(text, k, e).end()
+                if not _NO_WORD.search(text[a:i]) and _GLUED.match(text[k:b]) and (lang, _kind(text[a:i])) not in self.abbr:
                     cuts.append(k)
             elif run[-1] in "!?؟" and k == j and text[k].isupper() and "/" not in text[max(text.rfind(" ", s, i), s) : i]:
                 cuts.append(k)
@@ -301,11 +328,22 @@ class Model:
         return lang in ("hi", "ar") and word[:1].isascii()
 
 
-def learn(documents: DataFrame, scratch: Scratch, *, most_entries: int = 1_000_000) -> list[tuple[str, str, str]]:
+def _llr(k: Column, a: Column, b: Column, n: Column) -> Column:
+    """Log-likelihood ratio of a pair seen k times, its parts a and b times, among n pairs (Dunning); 0 where it is rarer than chance."""
+
+    def part(x: Column, rows: Column, cols: Column) -> Column:
+        return F.when(x > 0, x * F.log(x * n / (rows * cols))).otherwise(0.0)
+
+    k, a, b, n = (c.cast("double") for c in (k, a, b, n))
+    g = 2 * (part(k, a, b) + part(a - k, a, n - b) + part(b - k, n - a, b) + part(n - a - b + k, n - a, n - b))
+    return F.when(k * n > a * b, g).otherwise(0.0)
+
+
+def learn(documents: DataFrame, scratch: Scratch, *, least_share: float = 1e-6, least_llr: float = 7.88) -> list[tuple[str, str, str]]:
     """(language, list, entry) of the model, from counts over all texts.
 
-    The lists are short by construction (abbreviations and function words of each language); that they are is checked
-    before they are brought to the driver, and ``most_entries`` is where the operator stops with an error.
+    The lists hold what is significant (``least_llr``, 0.5 % of chance) and makes up ``least_share`` of the words of its
+    language or was seen twice in a small one: at most 1 / least_share entries of a kind and language, whatever the corpus.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -335,28 +373,36 @@ def learn(documents: DataFrame, scratch: Scratch, *, most_entries: int = 1_000_0
     score = llr * F.exp(-size.cast("double")) * dots * F.pow(F.greatest(size, F.lit(1)).cast("double"), -F.col("plain").cast("double"))
     # what is followed by lower-case words, figures or names does not end sentences; words at the end of sentences are followed by words that open them
     carries = (F.col("small") + F.col("digit")) / F.greatest(F.col("inside"), F.lit(1))
-    abbr = typed.where(((score >= 0.3) & (n >= 3)) | ((carries >= 0.25) & (F.col("small") >= 2) & (p >= 5 * F.col("plain")) & (size <= 8)))
-    abbr = abbr.where((size <= 8) & (p > F.col("plain")) & (carries >= 0.25)).select("language", "a")
-
-    # words that stand in lower case inside sentences, or follow a plain word's period far more often than chance, open a sentence when capitalised after an abbreviation
-    capital = after.where("case = 'U' AND NOT a LIKE '#%'").join(abbr, ["language", "a"], "left_anti").groupBy("language", "next").agg(F.sum("n").alias("opened"))
+    frequent = F.greatest(F.lit(2.0), least_share * F.col("words"))
+    abbr = typed.where(((score >= 0.3) & (n >= 3)) | ((carries >= 0.25) & (F.col("small") >= 2) & (p >= 5 * F.col("plain"))))
+    abbr = abbr.where((p > F.col("plain")) & (carries >= 0.25) & (n >= frequent)).select("language", "a")
+
+    # sentence starters: capitalised words that follow the period of a plain word significantly more often than chance, or that stand in lower case inside sentences
+    initial = F.col("a").rlike(r"^[^0-9_#]$|^([^0-9_.#]{1,3}\.)+[^0-9_.#]{1,3}$")
+    follows = after.where("case = 'U' AND NOT a LIKE '#%'").where(~initial)
+    capital = follows.join(abbr, ["language", "a"], "left_anti").groupBy("language", "next").agg(F.sum("n").alias("opened"))
+    breaks = capital.groupBy("language").agg(F.sum("opened").alias("breaks"))
     cased = word.select("language", F.col("a").alias("next"), "lower", "upper", (F.col("period") + F.col("plain")).alias("seen"))
-    starts = cased.join(capital, ["language", "next"], "left").na.fill(0, ["opened"])
-    starts = starts.where("(lower >= 2 AND lower > upper) OR (opened >= 5 AND opened >= 0.5 * seen)").where("opened >= 1 OR lower >= 3")
-    starts = starts.join(after.where("case = 'U'").select("language", "next").distinct(), ["language", "next"], "left_semi")
-    starts = starts.join(abbr.withColumnRenamed("a", "next"), ["language", "next"], "left_anti")
-    # ordinals: a capitalised word that follows a one- or two-figure number and a period, and rarely opens a sentence otherwise
-    ordinal = after.where("a = '#2' AND case = 'U'").groupBy("language", "next").agg(F.sum("n").alias("k")).join(capital, ["language", "next"], "left").na.fill(0, ["opened"]).where("k >= 2 AND k > 2 * opened")
+    starts = cased.join(capital, ["language", "next"], "left").na.fill(0, ["opened"]).join(total, "language").join(breaks, "language")
+    starter = _llr(F.col("opened"), F.col("breaks"), F.col("seen"), F.greatest(F.col("words"), F.col("seen") + F.col("breaks")))
+    starts = starts.where(((F.col("lower") >= frequent) & (F.col("lower") > F.col("upper"))) | ((starter >= least_llr) & (F.col("opened") >= frequent) & (F.col("opened") >= 0.5 * F.col("seen")))).where("opened >= 1 OR lower >= 3")
+    # only what follows an abbreviation, an initial or a dotted form is ever asked about
+    short = after.where("case = 'U'").where(initial).select("language", "next")
+    asked = after.where("case = 'U'").join(abbr, ["language", "a"], "left_semi").select("language", "next").unionByName(short).distinct()
+    starts = starts.join(asked, ["language", "next"], "left_semi").join(abbr.withColumnRenamed("a", "next"), ["language", "next"], "left_anti")
+    # collocations of ordinals: a capitalised word that goes with a one- or two-figure number and a period significantly more often than with other periods
+    pairs = after.where("case = 'U'").groupBy("language").agg(F.sum("n").alias("all"), F.sum(F.when(F.col("a") == "#2", F.col("n")).otherwise(0)).alias("numbers"))
+    ordinal = after.where("a = '#2' AND case = 'U'").groupBy("language", "next").agg(F.sum("n").alias("k")).join(capital, ["language", "next"], "left").na.fill(0, ["opened"]).join(pairs, "language").join(total, "language")
+    ordinal = ordinal.where((_llr(F.col("k"), F.col("numbers"), F.col("k") + F.col("opened"), F.greatest(F.col("all"), F.col("numbers") + F.col("k") + F.col("opened"))) >= least_llr) & (F.col("k") >= frequent) & (F.col("k") > 2 * F.col("opened")))
     opens = word.where("open >= 2 AND open >= 0.03 * (open + inner)")
-    # words whose period stands before figures (numbers of things), though the word itself may be common without it
-    number = small.where("NOT a LIKE '#%' AND figures >= 3 AND figures >= 0.6 * inside").select("language", F.lit("number").alias("k"), "a").where(F.length("a") <= 8)
+    # collocations of figures: words whose period stands before figures significantly more often than other periods do, though the word itself may be common without it
+    figure = small.groupBy("language").agg(F.sum("inside").alias("all"), F.sum("figures").alias("every"))
+    number = small.where("NOT a LIKE '#%'").join(figure, "language").join(total, "language").where((_llr(F.col("figures"), F.col("inside"), F.col("every"), F.col("all")) >= least_llr) & (F.col("figures") >= frequent) & (F.col("figures") >= 0.6 * F.col("inside")))
+    number = number.select("language", F.lit("number").alias("k"), "a")
     lists = (
         number.unionByName(abbr.select("language", F.lit("abbr").alias("k"), "a")).unionByName(starts.select("language", F.lit("starts").alias("k"), F.col("next").alias("a")))
         .unionByName(ordinal.select("language", F.lit("ordinal").alias("k"), F.col("next").alias("a"))).unionByName(opens.select("language", F.lit("opens").alias("k"), "a"))
     )
-    lists = scratch.cut(lists)
-    if (k := lists.count()) > most_entries:
-        raise ValueError(f"{k} entries in the sentence model; raise most_entries only if every executor can hold them")
     return [tuple(r) for r in lists.collect()]
 
 
