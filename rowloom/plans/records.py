@@ -30,8 +30,9 @@ def _in(words: tuple[str, ...]) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-_PHONE = "regexp_replace(regexp_replace(lower({0}), '(ext\\.?|x|extension)[ ]*[0-9]+$', ''), '[^0-9]', '', 'g')"
-_E164 = f"CASE WHEN length({_PHONE}) < 7 THEN NULL WHEN length({_PHONE}) = 11 AND {_PHONE} LIKE '1%' THEN '+1' || substr({_PHONE}, 2) WHEN length({_PHONE}) = 10 THEN '+1' || {_PHONE} ELSE {_PHONE} END"
+_RAW = "trim(regexp_replace(lower({0}), '[\\s,;]*(ext\\.?|x|extension)[ .]*[0-9]+\\s*$', ''))"
+_DIGITS = f"regexp_replace({_RAW}, '[^0-9]', '', 'g')"
+_E164 = f"CASE WHEN length({_DIGITS}) < 7 THEN NULL WHEN length({_DIGITS}) = 10 AND NOT starts_with({_RAW}, '+') THEN '+1' || {_DIGITS} WHEN length({_DIGITS}) = 11 AND starts_with({_DIGITS}, '1') THEN '+' || {_DIGITS} WHEN starts_with({_RAW}, '+') THEN '+' || {_DIGITS} ELSE {_DIGITS} END"
 
 
 @_query(f"SELECT row_id, {_E164.format('phone')} AS e164 FROM people_export")
@@ -41,7 +42,7 @@ def norm_phone(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_query(
-    f"""SELECT row_id, CASE WHEN e ~ '^\\+1[0-9]{{10}}$' AND NOT regexp_matches(e, '^\\+1(0{{10}}|1{{10}}|2{{10}}|3{{10}}|4{{10}}|5{{10}}|6{{10}}|7{{10}}|8{{10}}|9{{10}})$')
+    f"""SELECT row_id, CASE WHEN regexp_full_match(e, '\\+1[0-9]{{10}}') AND length(replace(substr(e, 3), substr(e, 3, 1), '')) > 0 AND substr(e, 3) NOT IN ('1234567890', '0123456789', '0987654321') AND NOT ends_with(e, '0000000')
         THEN '(' || substr(e, 3, 3) || ') ' || substr(e, 6, 3) || '-' || substr(e, 9, 4) END AS shown FROM (SELECT row_id, {_E164.format('phone')} AS e FROM people_export) AS x"""
 )
 def norm_phone_display(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,10 +50,21 @@ def norm_phone_display(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "people_export").select("row_id", t.phone_display(F.col("phone")).alias("shown"))
 
 
-@_query("SELECT row_id, CASE WHEN regexp_matches(lower(trim(email)), '^[^@ ]+@[^@ ]+\\.[^@ .]+$') THEN lower(trim(email)) END AS mailbox FROM people_export")
+_MAILBOX = """CASE WHEN regexp_matches({0}, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') THEN
+    CASE WHEN split_part({0}, '@', 2) IN ('gmail.com', 'googlemail.com') THEN replace(coalesce(nullif(split_part(split_part({0}, '@', 1), '+', 1), ''), split_part({0}, '@', 1)), '.', '') || '@gmail.com'
+         WHEN split_part({0}, '@', 2) IN ('outlook.com', 'hotmail.com', 'live.com', 'msn.com', 'icloud.com', 'me.com', 'mac.com', 'fastmail.com', 'protonmail.com', 'proton.me') THEN coalesce(nullif(split_part(split_part({0}, '@', 1), '+', 1), ''), split_part({0}, '@', 1)) || '@' || split_part({0}, '@', 2)
+         ELSE {0} END END"""
+#: every address as it is, at a provider of plus tags with one added, and at one that ignores dots
+_MAILS = "(SELECT row_id, kind, CASE kind WHEN 0 THEN m WHEN 1 THEN split_part(m, '@', 1) || '+news@outlook.com' ELSE split_part(m, '@', 1) || '+x@GoogleMail.com' END AS mail FROM (SELECT row_id, lower(trim(email)) AS m FROM people_export) AS a, (VALUES (0), (1), (2)) AS k(kind))"
+
+
+@_query(f"SELECT row_id, kind, {_MAILBOX.format('lower(mail)')} AS mailbox FROM {_MAILS} AS x")
 def norm_email(spark: SparkSession, sf: str) -> DataFrame:
-    """Mailbox identities (no provider with plus tags occurs in these tables)."""
-    return table(spark, sf, "people_export").select("row_id", t.email(F.col("email")).alias("mailbox"))
+    """Mailbox identities of all addresses, as they are and as tagged addresses of two providers."""
+    local = F.substring_index("m", "@", 1)
+    variants = F.array(F.col("m"), F.concat(local, F.lit("+news@outlook.com")), F.concat(local, F.lit("+x@GoogleMail.com")))
+    rows = table(spark, sf, "people_export").select("row_id", F.lower(F.trim("email")).alias("m")).select("row_id", F.posexplode(variants).alias("kind", "mail"))
+    return rows.select("row_id", "kind", t.email(F.col("mail")).alias("mailbox"))
 
 
 _BARE_ZIP = "regexp_replace(zip, '[  ]', '', 'g')"
@@ -68,19 +80,19 @@ def norm_postal_code(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "people_export").select("row_id", t.postal_code(F.col("zip")).alias("code"), t.restored_zip(F.col("zip")).alias("restored"))
 
 
-_WORDS = "list_filter(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '')"
+_LEGAL = "'inc', 'incorporated', 'llc', 'llp', 'lp', 'ltd', 'limited', 'corp', 'corporation', 'co', 'company', 'plc', 'gmbh', 'ag', 'sa', 'sas', 'srl', 'bv', 'nv', 'pty', 'pllc', 'pc', 'the'"
+_SPLIT = "list_filter(regexp_split_to_array(trim({0}), '\\s+'), lambda w: w <> '')"
+_FP = f"array_to_string(list_sort(list_distinct({_SPLIT.format("regexp_replace(lower(strip_accents(replace(name, chr(160), ' '))), '[^a-z0-9_\\s]', '', 'g')")})), ' ')"
+_CO = f"array_to_string(list_sort(list_distinct(list_filter({_SPLIT.format("regexp_replace(lower(strip_accents(replace(name, chr(160), ' '))), '[^a-z0-9_\\s&]', ' ', 'g')")}, lambda w: w NOT IN ({_LEGAL})))), ' ')"
 
 
-@_query(
-    f"""SELECT row_id, array_to_string(list_sort(list_distinct({_WORDS.format('name')})), ' ') AS fp,
-        array_to_string(list_sort(list_distinct(list_filter({_WORDS.format('name')}, lambda w: w NOT IN ({_in(t.LEGAL_FORMS)})))), ' ') AS company FROM people_export"""
-)
+@_query(f"SELECT row_id, {_FP} AS fp, {_CO} AS company FROM people_export")
 def key_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     """Key-collision keys of names."""
     return table(spark, sf, "people_export").select("row_id", t.fingerprint(F.col("name")).alias("fp"), t.company_key(F.col("name")).alias("company"))
 
 
-_COMPACT = "regexp_replace(lower(name), '[^a-z0-9]+', '', 'g')"
+_COMPACT = "regexp_replace(lower(strip_accents(replace(name, chr(160), ' '))), '[^a-z0-9]+', '', 'g')"
 
 
 @_query(f"SELECT row_id, CASE WHEN name IS NOT NULL THEN coalesce(array_to_string(list_sort(list_distinct(list_transform(range(1, greatest(length({_COMPACT}) - 1, 1) + 1), lambda i: substr({_COMPACT}, i, 2)))), ''), '') END AS grams FROM people_export")
@@ -90,7 +102,7 @@ def key_ngrams(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_query(
-    f"""SELECT column_name, COUNT(*) AS n, COUNT(*) FILTER (WHERE value IS NULL OR value = '') AS empty, COUNT(*) FILTER (WHERE lower(trim(value)) IN ({_in(t.PLACEHOLDERS)})) AS stand_ins
+    f"""SELECT column_name, COUNT(*) AS n, COUNT(*) FILTER (WHERE value IS NULL OR value = '') AS empty, COUNT(*) FILTER (WHERE lower(trim(value)) IN ('n/a', 'na', 'n.a.', 'none', 'null', 'nil', 'nan', '#n/a', '#value!', '#ref!', '#div/0!', '#name?', '#null!', '#num!', '-', '--', '---', '?', '??', 'unknown', 'not available', 'not applicable', 'tbd', 'undefined', 'blank', 'empty')) AS stand_ins
         FROM (SELECT UNNEST(['name', 'phone', 'email', 'address', 'zip']) AS column_name, UNNEST([name, phone, email, address, zip]) AS value FROM people_export) AS v GROUP BY column_name"""
 )
 def scan_placeholders(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,7 +148,7 @@ def exact_copies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_query(
-    f"""WITH c AS (SELECT array_to_string(list_sort(list_distinct({_WORDS.format('name')})), ' ') AS key, name AS value, COUNT(*) AS n FROM people_export WHERE name <> '' GROUP BY ALL)
+    f"""WITH c AS (SELECT {_FP} AS key, name AS value, COUNT(*) AS n FROM people_export WHERE name <> '' GROUP BY ALL)
         SELECT key, first(value ORDER BY n DESC, (regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')) DESC, length(value), hex(encode(value)) DESC) AS preferred, COUNT(*) AS variants, SUM(n)::BIGINT AS rows FROM c WHERE key <> '' GROUP BY key HAVING COUNT(*) > 1"""
 )
 def name_variants(spark: SparkSession, sf: str) -> DataFrame:
@@ -249,8 +261,7 @@ def unique_records(spark: SparkSession, sf: str) -> DataFrame:
     """First record of every title of a host; untitled records all stay."""
     s = table(spark, sf, "scrape_result").dropDuplicates(["run_id"])
     x = s.select("run_id", F.regexp_extract("source_url", r"^[a-z]+://([^/]+)", 1).alias("host"), F.posexplode("records").alias("item_pos", "rec")).select("run_id", "host", "item_pos", F.col("rec.title").alias("title"))
-    rank = F.row_number().over(Window.partitionBy("host", "title").orderBy("run_id", "item_pos"))
-    return x.withColumn("k", rank).where("k = 1 OR title IS NULL OR title = ''").drop("k")
+    return r.first_by_key(x, ["host", "title"], ["run_id", "item_pos"])
 
 
 def queries() -> dict[str, Query]:
