@@ -56,17 +56,29 @@ def _full(form: Column) -> Column:
     return F.aggregate(words, F.lit(0), lambda a, w: a + F.when(F.length(w) > 1, 2).otherwise(1)) + F.when(F.element_at(F.split(form, r"\|"), 2) != "", 1).otherwise(0)
 
 
-def near_tokens(tokens: DataFrame, scratch: Scratch) -> DataFrame:
-    """(token, other): every pair of tokens that are equal or a typo apart, from distinct tokens. Those after # only equal each other, those after + only meet single words."""
-    known = scratch.cut(tokens.select("token").distinct())
-    word = F.ltrim("token", F.lit("+"))
-    spelt = known.where(~F.col("token").startswith("#") & (F.length(word) >= 3)).repartition(F.col("token"))
-    cut = scratch.cut(spelt.select("token", F.col("token").startswith("+").alias("joined"), F.explode(slips(word)).alias("slip")))
-    met = cut.where("NOT joined").join(cut.select("slip", F.col("token").alias("other"), F.col("joined").alias("also")), "slip").where("also OR token < other")
-    near = scratch.cut(met.select("token", "other").distinct().where(close_to("token", F.ltrim("other", F.lit("+")))))
-    scratch.drop(cut)
-    same = known.where("token NOT LIKE '+%'").select("token", F.col("token").alias("other"))
-    return same.unionByName(near).unionByName(near.select(F.col("other").alias("token"), F.col("token").alias("other")))
+def _may_be_close(a: Column, b: Column) -> Column:
+    """What :func:`close` needs, told inside the JVM: each swap of neighbours costs two plain edits but leaves the letters the same."""
+    plain = F.levenshtein(a, b)
+    letters = F.levenshtein(F.array_join(F.array_sort(F.split(a, "")), ""), F.array_join(F.array_sort(F.split(b, "")), ""))
+    return F.when(plain <= 1, True).when(F.least(F.length(a), F.length(b)) < 8, (plain == 2) & (letters == 0)).otherwise((plain == 2) | (plain == 3) & (letters <= 2) | (plain == 4) & (letters == 0))
+
+
+def near_tokens(left: DataFrame, right: DataFrame, scratch: Scratch) -> DataFrame:
+    """(token, other): every token of the left that is equal to one of the right or a typo away. Those after # only equal each other, those after + only meet single words."""
+
+    def slipped(tokens: DataFrame, token: str, joined: str) -> DataFrame:
+        word = F.ltrim("token", F.lit("+"))
+        spelt = tokens.where(~F.col("token").startswith("#") & (F.length(word) >= 3)).repartition(F.col("token"))
+        return scratch.cut(spelt.select("token", F.col("token").startswith("+").alias("j"), F.explode(slips(word)).alias("slip")).toDF(token, joined, "slip"))
+
+    mine, theirs = scratch.cut(left.select("token").distinct()), scratch.cut(right.select("token").distinct())
+    a, b = slipped(mine, "token", "joined"), slipped(theirs, "other", "also")
+    bare = lambda c: F.ltrim(c, F.lit("+"))
+    met = a.join(b, "slip").where("token <> other AND NOT (joined AND also)").where(_may_be_close(bare("token"), bare("other")))
+    near = scratch.cut(met.select("token", "other").distinct().where(close_to(bare("token"), bare("other"))))
+    scratch.drop(a, b)
+    same = mine.where("token NOT LIKE '+%'").join(theirs, "token", "left_semi").select("token", F.col("token").alias("other"))
+    return same.unionByName(near)
 
 
 def _meetings(sized: DataFrame, outright: int, scratch: Scratch) -> DataFrame:
@@ -77,7 +89,7 @@ def _meetings(sized: DataFrame, outright: int, scratch: Scratch) -> DataFrame:
     if many.isEmpty():
         return pairs
     token = scratch.cut(many.select("form").distinct().select("form", F.explode(all_tokens_of("form")).alias("token")))
-    near = near_tokens(token, scratch)
+    near = near_tokens(token, token, scratch)
     left = many.join(token, "form").join(near, "token").select("key", "form", F.col("other").alias("token"))
     right = many.join(token, "form").select("key", "token", F.col("form").alias("main"))
     return pairs.unionByName(left.join(right, ["key", "token"]).where("form <> main").select("key", "form", "main").distinct())

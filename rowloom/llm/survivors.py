@@ -114,9 +114,9 @@ def survivors(rows: DataFrame, overrides: DataFrame, datasets: DataFrame, *, lea
     members = groups_of(rows)
     kept = one_per(rows.select("row_id", "dataset_id", "updated_at", *FIELDS), ["row_id"])
     trust = datasets.groupBy("dataset_id").agg(F.min(F.col("trust_rank").cast("int")).alias("trust"))
-    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("column_name"), usable(F.col(f), f).alias("ok"), F.when(usable(F.col(f), f), _shape(F.col(f), f)).alias("shape")) for f in FIELDS])).alias("e")
+    cells = F.explode(F.array(*[F.when(usable(F.col(f), f), F.struct(F.lit(f).alias("column_name"), _shape(F.col(f), f).alias("shape"))) for f in FIELDS])).alias("e")
     # values are looked at once a row, before the lists; only shapes travel
-    shaped = kept.join(trust, "dataset_id", "left").select("row_id", "updated_at", "trust", cells).where("e.ok").select("row_id", "updated_at", "trust", "e.column_name", "e.shape")
+    shaped = kept.join(trust, "dataset_id", "left").select("row_id", "updated_at", "trust", cells).where("e IS NOT NULL").select("row_id", "updated_at", "trust", "e.column_name", "e.shape")
     values = scratch.cut(members.join(shaped, "row_id"))
     learned = learn_precedence(values, least_z=least_z)
 
