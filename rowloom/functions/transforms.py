@@ -13,7 +13,7 @@ from rowloom.functions import text as t
 # Signs of currencies, suffixes under which names are registered, formats of dates.
 CURRENCIES = {"$": "USD", "€": "EUR", "£": "GBP", "¥": "JPY", "₹": "INR", "₽": "RUB", "₩": "KRW", "₺": "TRY", "₴": "UAH", "₦": "NGN", "USD": "USD", "EUR": "EUR", "GBP": "GBP", "CHF": "CHF", "JPY": "JPY", "CAD": "CAD", "AUD": "AUD", "EGP": "EGP"}
 TWO_PART_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp", "com.br", "com.mx", "com.tr", "com.cn", "com.hk", "com.sg", "co.in", "co.za", "co.kr", "com.eg", "com.ar", "github.io")
-DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "M/d/yyyy", "dd.MM.yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "EEE, d MMM yyyy HH:mm:ss Z")
+DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "MM/dd/yyyy", "M/d/yyyy", "dd.MM.yyyy", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMM yyyy HH:mm:ss Z")
 
 
 def strip_html(c: Column) -> Column:
@@ -77,7 +77,7 @@ def price(c: Column) -> Column:
 
 def date_text(c: Column) -> Column:
     """ISO date, or date and time, of a text in one of the usual formats; null for others."""
-    v = F.trim(F.regexp_replace(c, r"(?<=[0-9])(st|nd|rd|th)\b", ""))
+    v = F.trim(F.regexp_replace(F.regexp_replace(c, r"(?<=[0-9])(st|nd|rd|th)\b", ""), r"^\s*[A-Za-z]{3,9},\s*", ""))
     at = F.coalesce(*[F.try_to_timestamp(v, F.lit(f)) for f in DATE_FORMATS])
     return F.when(v.rlike(r"[0-9]:[0-9]{2}"), F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(at, "yyyy-MM-dd"))
 

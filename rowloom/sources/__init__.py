@@ -1 +1 @@
-"""See README.md for what lives here."""
+"""Readers of landed material."""

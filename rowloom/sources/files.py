@@ -7,6 +7,7 @@ DOCX, XML without a known row tag, archives) are whole documents and one task re
 from __future__ import annotations
 
 import bz2
+import csv
 import datetime as dt
 import gzip
 import io
@@ -196,12 +197,11 @@ def docx_rows(content: bytes) -> list[dict[str, str]]:
             out += [{**dict(zip(head, [*r, *[""] * len(head)], strict=False)), "source_table": str(k), "source_row": str(i)} for i, r in enumerate(lines[1:], 1)]
     if out:
         return out
-    return [{"paragraph": str(k), "text": s} for k, s in enumerate((s for x in root.iter() if _local(x.tag) == "p" and (s := say(x))), 1)]
+    texts = [say(x) for x in root.iter() if _local(x.tag) == "p"]
+    return [{"paragraph": str(k), "text": s} for k, s in enumerate(filter(None, texts), 1)]
 
 
 def csv_rows(content: bytes, sep: str = ",") -> list[dict[str, str]]:
-    import csv
-
     lines = [r for r in csv.reader(io.StringIO(content.decode("utf-8-sig")), delimiter=sep) if any(r)]
     if not lines:
         return []

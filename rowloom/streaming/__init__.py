@@ -1 +1 @@
-"""See README.md for what lives here."""
+"""Operators over streams."""
