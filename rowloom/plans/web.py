@@ -288,7 +288,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "url_transforms": f"""SELECT DISTINCT run_id, {_ORIGIN} || '/a/b?x=1' AS rooted, {_U} || '?q=2' AS query, split_part(source_url, '//', 1) || '//cdn.example/y' AS host_only, lower({_ORIGIN}) || substr({_U}, length({_ORIGIN}) + 1) || '?a=1&b=2' AS dropped,
             {_U} || '?z=3&page=7' AS paged, 12 AS page, array_to_string(list_slice(string_split(split_part({_ORIGIN}, '//', 2), '.'), -2, -1), '.') AS registered FROM scrape_result WHERE source_url IS NOT NULL""",
-        "value_transforms": "SELECT o_orderkey, printf('%.2f', o_totalprice) AS amount, 'EUR' AS currency, strftime(o_orderdate, '%Y-%m-%d') AS short_date, strftime(o_orderdate, '%Y-%m-%d') AS long_date, printf('%.2f', o_totalprice) AS digits, ((o_orderkey % 90) + 0.5) * 1000.0 AS thousands, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CAST(o_orderkey % 3 AS VARCHAR) END AS rolled FROM orders",
+        "value_transforms": "SELECT o_orderkey, printf('%.2f', o_totalprice) AS amount, 'EUR' AS currency, strftime(o_orderdate, '%Y-%m-%d') AS short_date, strftime(o_orderdate, '%Y-%m-%d') AS long_date, printf('%.2f', o_totalprice) AS digits, CAST(((o_orderkey % 90) + 0.5) * 1000 AS DOUBLE) AS thousands, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CAST(o_orderkey % 3 AS VARCHAR) END AS rolled FROM orders",
         "cell_kinds": "SELECT k, kind, CAST((SELECT COUNT(*) FROM customer) AS BIGINT) AS n FROM (VALUES (0, 'number'), (1, 'text'), (2, 'flag'), (3, 'date'), (4, 'text'), (5, 'empty')) AS t(k, kind)",
         "record_checks": "SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderkey % 10 = 0 THEN 'clerk is required' END, CASE WHEN o_totalprice < 50000 THEN 'o_totalprice is below 50000' END, CASE WHEN o_totalprice > 300000 THEN 'o_totalprice is above 300000' END, CASE WHEN length(o_orderpriority) < 6 THEN 'o_orderpriority is too short' END], lambda x: x IS NOT NULL), '; ') AS errors FROM orders",
         "validated_orders": "WITH o AS (SELECT o_orderkey, CASE WHEN o_custkey % 5 > 0 THEN o_custkey END AS cust, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_totalprice >= 50000) SELECT o_orderkey FROM o WHERE cust IS NULL UNION ALL SELECT min(o_orderkey) FROM o WHERE cust IS NOT NULL GROUP BY cust, day",
