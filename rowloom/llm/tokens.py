@@ -251,3 +251,17 @@ def encode_corpus(documents: DataFrame, id_column: str = "doc_id", text_column:
 
     picked = documents.select(documents[id_column].alias("id"), documents[text_column].alias("text"))
     return picked.mapInArrow(run, out)
+
+
+def decode_corpus(encoded: DataFrame, id_column: str = "doc_id", *, vocabulary: str | None = None) -> DataFrame:
+    """(id, text) of every row of :func:`encode_corpus`: the bytes of its tokens as UTF-8 text; an empty list gives the empty text."""
+    path = vocabulary or vocabulary_path()
+    kind = encoded.schema[id_column].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = {i: b for b, i in _bpe(path).rank.items()}
+        for batch in batches:
+            texts = [b"".join(token[i] for i in ids).decode() for ids in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=[id_column, "text"])
+
+    return encoded.select(encoded[id_column].alias("id"), "ids").mapInArrow(run, T.StructType([T.StructField(id_column, kind), T.StructField("text", T.StringType())]))
