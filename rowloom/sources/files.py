@@ -84,14 +84,19 @@ def read_csv(spark: SparkSession, path: str, *, sep: str = ",", quote: str = '"'
     names = unique_headers([x for x in parsed])
     schema = T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names))] + [T.StructField("_bad", T.StringType())])
     rows = spark.read.options(header=True, sep=sep, quote=quote, escape=quote, multiLine=True, enforceSchema=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_bad", encoding=encoding).schema(schema).csv(path)
-    whole = F.col("_bad").isNull() | (F.size(F.split("_bad", re.escape(sep))) < len(names) if sep != "\t" else F.lit(True))
+    wider = ", ".join(f"c{k} string" for k in range(len(names) + 1))
+    whole = F.col("_bad").isNull() | F.from_csv("_bad", wider, {"sep": sep, "quote": quote, "escape": quote})[f"c{len(names)}"].isNull()
     checked = rows.select(*[F.when(F.assert_true(whole, F.lit("a row has more values than the header")).isNull(), F.coalesce(f"c{k}", F.lit(""))).alias(n) for k, n in enumerate(names)])
     return checked
 
 
 def read_roll(spark: SparkSession, path: str, wanted: list[str]) -> DataFrame:
     """The wanted columns of a tab-separated file without quoting, in the code page of Western Windows; values trimmed, short lines dropped."""
-    lines = spark.read.option("encoding", "windows-1252").text(path)
+    # a whole line as the one value of a separator that never occurs: the text reader has no code pages
+    lines = spark.read.options(sep="\u0001", quote="", encoding="iso-8859-1", header=False).schema("value string").csv(path)
+    # the two code pages differ in 27 signs
+    moved = {chr(b): c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
+    lines = lines.select(F.translate("value", "".join(moved), "".join(moved.values())).alias("value"))
     names = [h.strip() for h in lines.first()[0].split("\t")]
     cells = F.split("value", "\t", -1)
     kept = lines.where(F.size(cells) >= len(names)).where(F.trim(F.element_at(cells, 1)) != names[0])
