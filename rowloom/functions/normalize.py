@@ -15,7 +15,7 @@ from rowloom.functions.fixed import DIRECTIONS, PARTICLES, PLACE_ROLES, SHORT_NA
 
 
 def _table(entries: Mapping[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+    return t.literal_map(entries)
 
 
 def comparable(c: Column) -> Column:

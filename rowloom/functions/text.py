@@ -6,7 +6,7 @@ Null gives null unless a builder says otherwise.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +31,12 @@ _ASCII = _mapping(lambda c: unicodedata.normalize("NFKD", c).encode("ascii", "ig
 _COMPATIBLE = _mapping(lambda c: unicodedata.normalize("NFKC", c))
 
 
+def literal_map(entries: Mapping[str, str]) -> Column:
+    """A fixed table as one map literal, made by a single expression."""
+    quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in entries.items()) + ")")
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is evaluated once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -59,7 +65,7 @@ _COMPOSITIONS = {d: c for c in _LATIN if len(d := unicodedata.normalize("NFD", c
 
 def composed(c: Column) -> Column:
     """Latin letters and a combining mark as one letter (canonical composition)."""
-    table = F.create_map(*[F.lit(x) for pair in _COMPOSITIONS.items() for x in pair])
+    table = literal_map(_COMPOSITIONS)
     pieces = F.split(c, r"(?=[A-Za-z][\x{0300}-\x{0331}])|(?<=[\x{0300}-\x{0331}])")
     return F.when(c.rlike(r"[A-Za-z][\x{0300}-\x{0331}]"), F.array_join(F.transform(pieces, lambda x: F.coalesce(F.try_element_at(table, x), x)), "")).otherwise(c)
 

@@ -24,7 +24,7 @@ COMPANY = re.compile(r"compan|organi[sz]ation|employer|business|firm|vendor|supp
 
 
 def _table(entries: Mapping[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
+    return t.literal_map(entries)
 
 
 def _fine(value: Column) -> Column:

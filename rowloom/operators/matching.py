@@ -8,12 +8,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rowloom.functions import normalize as nz
 from rowloom.functions import similarity as sim
@@ -258,25 +257,26 @@ class _Group:
         self.confidence = min(self.confidence, other.confidence, score)
 
 
-def merge_component(nodes: pd.DataFrame, links: pd.DataFrame, person: bool) -> tuple[list[_Group], list[str], int]:
+def merge_component(nodes: Sequence[tuple], links: Sequence[tuple], person: bool) -> tuple[list[_Group], list[str], int]:
     """Groups, rejected bridges and incompatible unions of one connected component.
 
-    nodes: row_id, house, ids, lock, given, surname. links: kind (lock, must_link, match, must_not), left, right, score,
-    decision_id, at (order of reviewers' links). Locks and reviewers' links come first, then matches by falling score.
+    nodes: (row_id, house, ids, lock, given, surname); links: (kind, left, right, score, decision_id, at), kind being
+    lock, must_link, match or must_not and at the order of reviewers' links. Locks and reviewers' links come first, then
+    matches by falling score.
     """
     foes: dict[str, set[str]] = {}
-    for a, b in links.loc[links["kind"] == "must_not", ["left", "right"]].itertuples(index=False):
-        foes.setdefault(a, set()).add(b)
-        foes.setdefault(b, set()).add(a)
-    of = {}
-    for x in nodes.itertuples(index=False):
-        who = (tuple(x.given), x.surname) if x.given is not None and x.surname is not None else None
-        of[x.row_id] = _Group(x.row_id, x.house, list(x.ids), x.lock, who, foes.get(x.row_id, set()))
-    lock = dict(zip(nodes["row_id"], nodes["lock"], strict=True))
-    matches = links[links["kind"] == "match"]
-    matches = matches[[b not in foes.get(a, ()) for a, b in zip(matches["left"], matches["right"], strict=True)]].sort_values(["score", "left", "right"], ascending=[False, True, True], kind="stable")
+    for kind, a, b, *_ in links:
+        if kind == "must_not":
+            foes.setdefault(a, set()).add(b)
+            foes.setdefault(b, set()).add(a)
+    of, lock = {}, {}
+    for row, house, ids, held, given, surname in nodes:
+        who = (tuple(given), surname) if given is not None and surname is not None else None
+        of[row] = _Group(row, house, list(ids), held, who, foes.get(row, set()))
+        lock[row] = held
+    matches = sorted((-score, a, b, number) for kind, a, b, score, number, _ in links if kind == "match" and b not in foes.get(a, ()))
     near: dict[str, set[str]] = {}
-    for a, b in zip(matches["left"], matches["right"], strict=True):
+    for _, a, b, _ in matches:
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
     bridges, refused = [], 0
@@ -288,8 +288,7 @@ def merge_component(nodes: pd.DataFrame, links: pd.DataFrame, person: bool) -> t
         for row in q.rows:
             of[row] = p
 
-    given = links[links["kind"].isin(["lock", "must_link"])].sort_values(["kind", "at", "left", "right"], kind="stable")
-    for a, b in zip(given["left"], given["right"], strict=True):
+    for _, _, a, b in sorted((kind, at, a, b) for kind, a, b, _, _, at in links if kind in ("lock", "must_link")):
         p, q = of[a], of[b]
         if p is q:
             continue
@@ -297,7 +296,7 @@ def merge_component(nodes: pd.DataFrame, links: pd.DataFrame, person: bool) -> t
             unite(p, q, 1.0)
         else:
             refused += 1
-    for a, b, score, number in zip(matches["left"], matches["right"], matches["score"], matches["decision_id"], strict=True):
+    for minus, a, b, number in matches:
         p, q = of[a], of[b]
         if p is q:
             continue
@@ -306,7 +305,7 @@ def merge_component(nodes: pd.DataFrame, links: pd.DataFrame, person: bool) -> t
         elif len(p.rows) > 1 and len(q.rows) > 1 and sum(len(near.get(row, set()) & q.rows) for row in p.rows) < 2:
             bridges.append(number)
         else:
-            unite(p, q, float(score))
+            unite(p, q, -minus)
     groups = list({id(g): g for g in of.values()}.values())
     return groups, bridges, refused
 
@@ -346,18 +345,43 @@ def cluster(rows: DataFrame, decisions: DataFrame, constraints: DataFrame | None
     # a must_not between two components forbids nothing
     inner = joined.join(of.select(F.col("id").alias("right"), F.col("group").alias("other")), "right").where("component = other").drop("other")
 
-    def run(key: tuple, nodes: pd.DataFrame, link: pd.DataFrame) -> pd.DataFrame:
-        groups, bridges, refused = merge_component(nodes, link, person)
-        locked_rows = {r for r, k in zip(nodes["row_id"], nodes["lock"], strict=True) if k is not None}
+    def finish(nodes: list[tuple], linked: list[tuple]) -> list[tuple]:
+        groups, bridges, refused = merge_component(nodes, linked, person)
+        held = {n[0] for n in nodes if n[3] is not None}
         out = []
         for g in groups:
             name = "c_" + hashlib.sha1("|".join(sorted(g.rows)).encode()).hexdigest()[:16]
-            status = "locked" if g.rows & locked_rows else "active"
+            status = "locked" if g.rows & held else "active"
             out += [("row", row, name, round(g.confidence, 3), status, None, None) for row in sorted(g.rows)]
-        out += [("bridge", None, None, None, None, b, None) for b in bridges] + [("refused", None, None, None, None, None, refused)]
-        return pd.DataFrame(out, columns=[x.split()[0] for x in _CLUSTERED.split(", ")])
-
-    merged = scratch.cut(node.where("component IS NOT NULL").groupBy("component").cogroup(inner.groupBy("component")).applyInPandas(run, _CLUSTERED))
+        return out + [("bridge", None, None, None, None, b, None) for b in bridges] + [("refused", None, None, None, None, None, refused)]
+
+    columns = [x.split()[0] for x in _CLUSTERED.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # components follow each other in order: each is merged when the next begins
+        at, nodes, linked = None, [], []
+        for batch in batches:
+            out: list[tuple] = []
+            for x in batch.itertuples(index=False, name=None):
+                if x[0] != at:
+                    if at is not None:
+                        out += finish(nodes, linked)
+                    at, nodes, linked = x[0], [], []
+                if x[1] == "node":
+                    nodes.append((x[2], x[3], x[4], x[5], x[6], x[7]))
+                else:
+                    linked.append((x[1], x[8], x[9], x[10], x[11], x[12]))
+            yield pd.DataFrame(out, columns=columns)
+        if at is not None:
+            yield pd.DataFrame(finish(nodes, linked), columns=columns)
+
+    null = F.lit(None).cast("string")
+    parts = [F.col("row_id"), F.col("house"), F.col("ids"), F.col("lock"), F.col("given"), F.col("surname")]
+    a = node.where("component IS NOT NULL").select("component", F.lit("node").alias("kind"), *parts, null.alias("left"), null.alias("right"), F.lit(0.0).alias("score"), null.alias("decision_id"), F.lit("").alias("at"))
+    none = F.lit(None).cast("array<string>")
+    b = inner.select("component", "kind", null.alias("row_id"), null.alias("house"), none.alias("ids"), null.alias("lock"), none.alias("given"), null.alias("surname"), "left", "right", "score", "decision_id", F.coalesce("at", F.lit("")).alias("at"))
+    together = a.unionByName(b).repartition("component").sortWithinPartitions("component")
+    merged = scratch.cut(together.mapInPandas(run, _CLUSTERED))
     alone = node.where("component IS NULL").select("row_id", F.concat(F.lit("c_"), F.substring(F.sha1("row_id"), 1, 16)).alias("cluster_id"), F.lit(1.0).alias("confidence"), F.when(F.col("lock").isNotNull(), "locked").otherwise("active").alias("status"))
     clusters = alone.unionByName(merged.where("kind = 'row'").select("row_id", "cluster_id", "confidence", "status"))
     return clusters, merged.where("kind = 'bridge'").select("decision_id")

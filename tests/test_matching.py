@@ -1,6 +1,5 @@
 import random
 
-import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -66,23 +65,19 @@ def test_blocks_and_oversized(spark):
 
 
 def _nodes(n, houses=None, locks=None):
-    return pd.DataFrame({"row_id": [f"r{i}" for i in range(n)], "house": [(houses or {}).get(i) for i in range(n)], "ids": [[]] * n, "lock": [(locks or {}).get(i) for i in range(n)], "given": [None] * n, "surname": [None] * n})
-
-
-def _links(rows):
-    return pd.DataFrame(rows, columns=["kind", "left", "right", "score", "decision_id", "at"])
+    return [(f"r{i}", (houses or {}).get(i), [], (locks or {}).get(i), None, None) for i in range(n)]
 
 
 def test_bridges_constraints_and_locks():
     match = lambda a, b, s=1.0: ("match", f"r{a}", f"r{b}", s, f"d{a}{b}", "")
     said = lambda kind, a, b: (kind, f"r{a}", f"r{b}", 1.0, None, "")
-    groups, bridges, _ = m.merge_component(_nodes(4), _links([match(0, 1), match(2, 3), match(1, 2, 0.96)]), False)
+    groups, bridges, _ = m.merge_component(_nodes(4), list([match(0, 1), match(2, 3), match(1, 2, 0.96)]), False)
     assert sorted(map(sorted, (g.rows for g in groups))) == [["r0", "r1"], ["r2", "r3"]] and bridges == ["d12"]
-    groups, _, refused = m.merge_component(_nodes(3), _links([match(0, 1), match(1, 2, 0.97), said("must_not", 0, 2)]), False)
+    groups, _, refused = m.merge_component(_nodes(3), list([match(0, 1), match(1, 2, 0.97), said("must_not", 0, 2)]), False)
     assert sorted(len(g.rows) for g in groups) == [1, 2] and refused == 1
-    groups, _, _ = m.merge_component(_nodes(3, locks={0: "a", 1: "a"}), _links([match(1, 2), said("lock", 0, 1)]), False)
+    groups, _, _ = m.merge_component(_nodes(3, locks={0: "a", 1: "a"}), list([match(1, 2), said("lock", 0, 1)]), False)
     assert sorted(len(g.rows) for g in groups) == [1, 2]
-    groups, _, _ = m.merge_component(_nodes(3, houses={0: "1", 2: "2"}), _links([match(0, 1), match(1, 2, 0.97)]), False)
+    groups, _, _ = m.merge_component(_nodes(3, houses={0: "1", 2: "2"}), list([match(0, 1), match(1, 2, 0.97)]), False)
     assert all(len(g.houses) <= 1 for g in groups)
 
 
@@ -92,7 +87,7 @@ def test_components_do_not_change_the_merging(spark):
     links = [("match", *sorted((f"r{rng.randrange(n)}", f"r{rng.randrange(n)}")), round(rng.random(), 2), f"d{k}", "") for k in range(55)]
     links = [x for x in links if x[1] != x[2]]
     houses = {i: str(rng.randrange(3)) for i in range(0, n, 4)}
-    whole, bridges, _ = m.merge_component(_nodes(n, houses), _links(links), False)
+    whole, bridges, _ = m.merge_component(_nodes(n, houses), list(links), False)
     r = spark.createDataFrame([(f"r{i}", houses.get(i, "")) for i in range(n)], "row_id string, h string")
     no = F.lit(None).cast("string")
     r = r.select("row_id", F.struct(F.create_map().cast("map<string,string>").alias("identifier"), F.struct(F.col("h").alias("house_number")).alias("address"), F.struct(F.array().cast("array<string>").alias("given"), no.alias("surname")).alias("person")).alias("n"))
@@ -106,8 +101,9 @@ def test_components_do_not_change_the_merging(spark):
 
 def test_components(spark):
     links = [(1, 2), (2, 3), (None, 4), (5, 5), (9, 8), (8, 7), *[(100, 100 + i) for i in range(1, 30)], *[(200 + i, 201 + i) for i in range(25)]]
-    got = {x.id: x.group for x in connected(spark.createDataFrame(links, "a long, b long"), "a", "b", Scratch(spark)).collect()}
-    assert got == {**{i: 1 for i in (1, 2, 3)}, **{i: 7 for i in (7, 8, 9)}, **{100 + i: 100 for i in range(30)}, **{200 + i: 200 for i in range(26)}}
+    graph = spark.createDataFrame(links, "a long, b long")
+    got, again = ({x.id: x.group for x in connected(graph, "a", "b", Scratch(spark), in_task=k).collect()} for k in (0, 1000))
+    assert got == again == {**{i: 1 for i in (1, 2, 3)}, **{i: 7 for i in (7, 8, 9)}, **{100 + i: 100 for i in range(30)}, **{200 + i: 200 for i in range(26)}}
 
 
 def test_canonical_record(spark):
