@@ -114,21 +114,22 @@ def survivors(rows: DataFrame, overrides: DataFrame, datasets: DataFrame, *, lea
     members = groups_of(rows)
     kept = one_per(rows.select("row_id", "dataset_id", "updated_at", *FIELDS), ["row_id"])
     trust = datasets.groupBy("dataset_id").agg(F.min(F.col("trust_rank").cast("int")).alias("trust"))
-    cells = F.explode(F.array(*[F.when(usable(F.col(f), f), F.struct(F.lit(f).alias("column_name"), _shape(F.col(f), f).alias("shape"))) for f in FIELDS])).alias("e")
+    fields = F.explode(F.array(*[F.when(usable(F.col(f), f), F.struct(F.lit(f).alias("column_name"), _shape(F.col(f), f).alias("shape"))) for f in FIELDS])).alias("e")
     # values are looked at once a row, before the lists; only shapes travel
-    shaped = kept.join(trust, "dataset_id", "left").select("row_id", "updated_at", "trust", cells).where("e IS NOT NULL").select("row_id", "updated_at", "trust", "e.column_name", "e.shape")
+    shaped = kept.join(trust, "dataset_id", "left").select("row_id", "updated_at", "trust", fields).where("e IS NOT NULL").select("row_id", "updated_at", "trust", "e.column_name", "e.shape")
     values = scratch.cut(members.join(shaped, "row_id"))
     learned = learn_precedence(values, least_z=least_z)
 
-    # certain order: a row is outranked if a better trust level has a later time; it dominates if its time and its trust are both strictly the best
-    level = values.where("trust IS NOT NULL").groupBy("group_id", "column_name", "trust").agg(F.max("updated_at").alias("last"))
-    levels = level.groupBy("group_id", "column_name").agg(F.collect_list(F.struct("trust", "last")).alias("levels"))
-    tops = values.groupBy("group_id", "column_name").agg(
-        F.count("*").alias("n"), F.count("updated_at").alias("n_at"), F.count("trust").alias("n_trust"), F.max("updated_at").alias("last"), F.min("trust").alias("best")
-    )
-    ranked = values.join(tops.join(levels, ["group_id", "column_name"], "left"), ["group_id", "column_name"])
+    # certain order: a row is outranked if a better trust level has a later time; it dominates if it is alone on the best level and later than all others
+    level = values.groupBy("group_id", "column_name", "trust").agg(F.count("*").alias("n"), F.count("updated_at").alias("n_at"), F.max("updated_at").alias("last"))
+    levels = F.collect_list(F.when(F.col("trust").isNotNull(), F.struct("trust", "last", "n")))
+    cells = level.groupBy("group_id", "column_name").agg(levels.alias("levels"), F.sum("n").alias("n"), F.sum("n_at").alias("n_at"), F.coalesce(F.sum(F.when(F.col("trust").isNotNull(), F.col("n"))), F.lit(0)).alias("n_trust"))
+    top = F.array_min("levels")
+    rest = F.array_except("levels", F.array(top))
+    greatest = (F.col("n") == F.col("n_at")) & (F.col("n") == F.col("n_trust")) & (top["n"] == 1) & F.forall(rest, lambda t: t["last"] < top["last"])
+    cells = cells.select("*", ((F.col("n") == 1) | F.coalesce(greatest, F.lit(False))).alias("dominated"))
     beaten = F.coalesce(F.exists("levels", lambda t: (t["trust"] < F.col("trust")) & (t["last"] > F.col("updated_at"))), F.lit(False))
-    front = scratch.cut(ranked.where(~beaten).select("group_id", "column_name", "row_id", "updated_at", "trust", "shape", "n", "n_at", "n_trust", "last", "best"))
+    front = scratch.cut(values.join(cells, ["group_id", "column_name"]).where(~beaten).select("group_id", "column_name", "row_id", "updated_at", "trust", "shape", "n", "n_at", "dominated"))
 
     # learned order among what is left: untimed rows against all, timed rows against untimed ones
     newer: dict[tuple[str, str], list[str]] = {}
@@ -141,14 +142,9 @@ def survivors(rows: DataFrame, overrides: DataFrame, datasets: DataFrame, *, lea
     rivals = F.when(F.col("updated_at").isNull(), F.col("shapes")).otherwise(F.col("untimed"))
     latest = left.where(~F.coalesce(F.arrays_overlap("newer", rivals), F.lit(False)))
 
-    complete = (F.col("n_at") == F.col("n")) & (F.col("n_trust") == F.col("n"))
-    is_last, is_best = F.coalesce(F.col("updated_at") == F.col("last"), F.lit(False)), F.coalesce(F.col("trust") == F.col("best"), F.lit(False))
-    # strictly best in both: no other row of the cell has the last time or the best trust; counted over all rows, whether outranked or not
-    ends = ranked.groupBy("group_id", "column_name").agg(F.count_if(is_last).alias("n_last"), F.count_if(is_best).alias("n_best"))
     key = F.struct(F.col("updated_at").isNotNull().alias("timed"), F.col("updated_at").alias("at"), (-F.coalesce("trust", F.lit(1 << 30))).alias("trust"), (-F.col("row_id")).alias("id"))
-    both_ends = F.max(is_last & is_best & complete).alias("both")
-    chosen = latest.groupBy("group_id", "column_name").agg(F.max_by("row_id", key).alias("reasoned"), F.count("*").alias("left"), F.max("n").alias("n"), both_ends).join(ends, ["group_id", "column_name"])
-    basis = F.when((F.col("n") == 1) | (F.col("both") & (F.col("n_last") == 1) & (F.col("n_best") == 1)), "dominant").when(F.col("left") == 1, "currency").otherwise("tie")
+    chosen = latest.groupBy("group_id", "column_name").agg(F.max_by("row_id", key).alias("reasoned"), F.count("*").alias("left"), F.max("dominated").alias("dominated"))
+    basis = F.when(F.col("dominated"), "dominant").when(F.col("left") == 1, "currency").otherwise("tie")
     reasoned = chosen.select("group_id", "column_name", "reasoned", basis.alias("basis"))
 
     field = F.lower(F.regexp_replace("column_name", r"[\s ]", ""))
