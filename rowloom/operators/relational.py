@@ -8,12 +8,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowloom.functions import text as t
+from rowloom.runtime import Scratch
 
 
 def exact_duplicates(rows: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows with ``copy`` numbered from 0 within equal tidied, case-folded values; the first in ``order`` is kept as 0."""
+    """Rows with ``copy`` numbered from 0 within equal tidied, case-folded values; the first in ``order`` is kept as 0.
+
+    Rows are cut into ranges of value and order, so that values that a third of all rows share are numbered by many
+    tasks: within a range first, then moved by the counts of the ranges before.
+    """
     key = F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.lower(t.tidy(F.col(c).cast("string"))), F.lit("")) for c in columns]), 256)
-    return rows.withColumn("copy", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+    scratch = Scratch(rows.sparkSession)
+    cut = scratch.cut(rows.withColumn("_key", key).repartitionByRange("_key", *order).withColumn("_part", F.spark_partition_id()))
+    inside = F.row_number().over(Window.partitionBy("_key", "_part").orderBy(*order)) - 1
+    counts = cut.groupBy("_key", "_part").agg(F.count("*").alias("_n"))
+    # only values that lie in several ranges have anything before them
+    spread = counts.join(counts.groupBy("_key").agg(F.count("*").alias("_k")).where("_k > 1").select("_key"), "_key", "left_semi")
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    moved = spread.select("_key", "_part", before.alias("_before"))
+    numbered = cut.withColumn("copy", inside).join(moved, ["_key", "_part"], "left")
+    return numbered.withColumn("copy", (F.col("copy") + F.coalesce("_before", F.lit(0))).cast("int")).select(*rows.columns, "copy")
+
+
+def medians(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by..., median, n): exact medians of a column of numbers, nulls aside.
+
+    Values are counted first and cut into ranges; a median is read off the range that holds the middle of its group, so
+    neither all values of a group nor the counts of all groups meet in one task.
+    """
+    keys = list(by)
+    scratch = Scratch(rows.sparkSession)
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    cut = scratch.cut(counted.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()))
+    parts = cut.groupBy(*keys, "_part").agg(F.sum("_n").alias("_n"))
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = parts.select(*keys, "_part", F.col("_n").alias("_size"), before.alias("_before"), F.sum("_n").over(group).alias("_all"))  # one row a group and range
+    lo, hi = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    holds = placed.where((F.col("_before") <= hi) & (F.col("_before") + F.col("_size") > lo))
+    inside = cut.join(holds.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_before", "_all"), (cut["_part"] == F.col("_p")) & _all_equal(cut, keys))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy("_v"))
+    at = inside.withColumn("_upto", F.col("_before") + upto)
+    middle = at.where((F.col("_upto") > lo) & (F.col("_upto") - F.col("_n") <= hi))
+    return middle.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias("median"), F.max("_all").alias("n"))
+
+
+def _all_equal(df: DataFrame, keys: Sequence[str]) -> Column:
+    out = F.lit(True)
+    for i, k in enumerate(keys):
+        out = out & df[k].eqNullSafe(F.col(f"_k{i}"))
+    return out
 
 
 def variant_groups(rows: DataFrame, column: str, key: Column) -> DataFrame:
@@ -81,9 +125,11 @@ def pending_reviews(decisions: DataFrame, settled: DataFrame) -> DataFrame:
 
 
 def first_by_key(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the first in ``order``; rows with a null or empty key part are all kept."""
+    """One row per key, the first in ``order``; rows with a null or empty key part are all kept. A minimum per key, so a key of very many rows is aggregated where they lie."""
     gone = F.lit(False)
     for k in keys:
         gone = gone | t.is_empty(F.col(k).cast("string"))
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.where(gone).unionByName(rows.where(~gone).withColumn("_rank", rank).where("_rank = 1").drop("_rank"))
+    rest = [c for c in rows.columns if c not in keys]
+    first = rows.where(~gone).groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_f"))
+    taken = first.select(*[F.col(c) if c in keys else F.col(f"_f.{c}").alias(c) for c in rows.columns])
+    return rows.where(gone).unionByName(taken)

@@ -212,7 +212,8 @@ def review_order(spark: SparkSession, sf: str) -> DataFrame:
 def review_turnaround(spark: SparkSession, sf: str) -> DataFrame:
     """Exact median of the seconds from decision to arrival."""
     d = table(spark, sf, "decisions").distinct().where("decided_at IS NOT NULL AND loaded_at IS NOT NULL")
-    return d.agg(F.round(F.median(F.unix_timestamp("loaded_at") - F.unix_timestamp("decided_at")), 3).alias("seconds"), F.count("*").alias("n"))
+    waited = d.select((F.unix_timestamp(F.col("loaded_at").cast("timestamp")) - F.unix_timestamp(F.col("decided_at").cast("timestamp"))).alias("s"))
+    return r.medians(waited, [], "s").select(F.round("median", 3).alias("seconds"), "n")
 
 
 _COVERAGE = "SELECT load_id, column_name, round(AVG(CASE WHEN value IS NULL OR value = '' THEN 0.0 ELSE 1.0 END), 3) AS coverage FROM (SELECT load_id, dataset_id, UNNEST(['name', 'phone', 'email', 'address', 'zip']) AS column_name, UNNEST([name, phone, email, address, zip]) AS value FROM people_export) AS v GROUP BY load_id, column_name"
@@ -251,8 +252,9 @@ def summary_breakdown(spark: SparkSession, sf: str) -> DataFrame:
     """Key figures of line items by flag and status, with their share of all rows."""
     li = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice")
     p = F.col("l_extendedprice")
-    g = li.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.min(p), 2).alias("least"), F.median(p).alias("middle"), F.round(F.avg(p), 2).alias("mean"), F.round(F.max(p), 2).alias("most"))
+    g = li.groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.min(p), 2).alias("least"), F.round(F.avg(p), 2).alias("mean"), F.round(F.max(p), 2).alias("most"))
     total = li.agg(F.count("*").alias("total"))
+    g = g.join(r.medians(li, ["l_returnflag", "l_linestatus"], "l_extendedprice").select("l_returnflag", "l_linestatus", F.col("median").alias("middle")), ["l_returnflag", "l_linestatus"])
     return g.crossJoin(F.broadcast(total)).withColumn("share", F.round(F.col("n") / F.col("total"), 6)).drop("total")  # one row
 
 
