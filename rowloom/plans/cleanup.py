@@ -92,8 +92,9 @@ def cleanup_columns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spelling_groups(spark: SparkSession, sf: str) -> DataFrame:
-    """All spelling groups of the towns of crm_contacts."""
-    return c.value_clusters(table(spark, sf, "crm_contacts"), "city", limit=None)
+    """All spelling groups of the priorities of orders, typed in three ways."""
+    v, k = F.col("o_orderpriority"), F.col("o_orderkey") % 3
+    return c.value_clusters(table(spark, sf, "orders").select(F.when(k == 0, F.upper(v)).when(k == 1, F.replace(v, F.lit("-"), F.lit(" "))).otherwise(v).alias("typed")), "typed", limit=None)
 
 
 def company_groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -225,7 +226,7 @@ def oracle_sql() -> dict[str, str]:
             coalesce(split_part(lower(email), '@', 1) IN ('test', 'asdf', 'fake') AND contains(email, '@'), FALSE) OR coalesce(len(list_filter(string_split(lower({cols['name']}), ' '), lambda w: w IN ('test', 'testing', 'tester', 'asdf', 'asdfgh', 'qwerty', 'dummy', 'sample', 'lorem', 'ipsum', 'xxx', 'zzz', 'foo', 'bar', 'abc', 'aaa'))) > 0
             AND len(list_filter(string_split(lower({cols['name']}), ' '), lambda w: w NOT IN ('test', 'testing', 'tester', 'asdf', 'asdfgh', 'qwerty', 'dummy', 'sample', 'lorem', 'ipsum', 'xxx', 'zzz', 'foo', 'bar', 'abc', 'aaa', 'user', 'name', 'person'))) = 0, FALSE) AS test FROM people_export)
             SELECT COUNT(*) FILTER (WHERE gone) AS empty, COUNT(*) FILTER (WHERE NOT gone) - COUNT(DISTINCT key) FILTER (WHERE NOT gone) AS exact_duplicates, COUNT(*) FILTER (WHERE NOT gone AND test) AS test FROM r""",
-        "spelling_groups": _groups("crm_contacts", "city", "fingerprint", _FP),
+        "spelling_groups": _groups("(SELECT CASE o_orderkey % 3 WHEN 0 THEN upper(o_orderpriority) WHEN 1 THEN replace(o_orderpriority, '-', ' ') ELSE o_orderpriority END AS typed FROM orders) AS o", "typed", "fingerprint", _FP),
         "company_groups": _groups("people_export", "name", "company", _CO),
         "queue_page": "SELECT decision_id FROM (SELECT DISTINCT * FROM decisions WHERE decision = 'possible_match') AS d ORDER BY coalesce(likelihood, -1) DESC, score DESC NULLS LAST, decision_id LIMIT 10 OFFSET 10",
         "latest_overrides": "SELECT dataset_id, last(override_id ORDER BY created_at, override_id) AS override_id FROM canonical_overrides WHERE revoked_at IS NULL GROUP BY dataset_id",

@@ -65,8 +65,8 @@ def match_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def match_oversized(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocks of more than 20 rows, which a limit of 20 leaves unpaired."""
-    return m.oversized(m.block_keys(_people(spark, sf)), 20)
+    """Blocks of more than 8 rows, which a limit of 8 leaves unpaired."""
+    return m.oversized(m.block_keys(_people(spark, sf)), 8)
 
 
 def _contact_decisions(spark: SparkSession, sf: str) -> DataFrame:
@@ -198,7 +198,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT run_id, '//' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN contains(u, '?') THEN '?' || split_part(u, '?', 2) ELSE '' END AS plain, '//' || host || CASE WHEN path = '' THEN '/' ELSE path END || '?a=2&z=1' AS tracked FROM h UNION ALL SELECT DISTINCT run_id, NULL, NULL FROM scrape_result WHERE source_url IS NULL""",
         "match_blocks": f"WITH {_KEYS} SELECT split_part(key, ':', 1) || ':' || substr(sha1(key), 1, 10) AS block_id, split_part(key, ':', 1) AS kind, size FROM s",
         "match_candidates": f'WITH {_KEYS} SELECT least(x.row_id, y.row_id) AS "left", greatest(x.row_id, y.row_id) AS "right", COUNT(*)::INT AS blocks FROM k AS x JOIN k AS y ON x.key = y.key AND x.row_id < y.row_id JOIN s ON s.key = x.key AND s.size <= 200 GROUP BY ALL',
-        "match_oversized": f"WITH {_KEYS} SELECT split_part(key, ':', 1) || ':' || substr(sha1(key), 1, 10) AS block_id, split_part(key, ':', 1) AS kind, size FROM s WHERE size > 20",
+        "match_oversized": f"WITH {_KEYS} SELECT split_part(key, ':', 1) || ':' || substr(sha1(key), 1, 10) AS block_id, split_part(key, ':', 1) AS kind, size FROM s WHERE size > 8",
         "match_contact_decisions": f"""WITH {_CONTACT_PAIRS} SELECT 'd_' || substr(sha1("left" || '|' || "right"), 1, 16) AS decision_id, "left", "right", round(score, 6) AS score, comparable, CASE WHEN (p = 1 OR e = 1) AND score >= .95 AND comparable >= 2 THEN 'match' WHEN p = 1 OR e = 1 THEN 'possible_match' WHEN score >= .75 AND comparable >= 2 THEN 'possible_match' ELSE 'non_match' END AS decision FROM w""",
         "match_components": "WITH RECURSIVE e AS (SELECT DISTINCT left_row_id AS a, right_row_id AS b FROM decisions WHERE decision = 'match' AND left_row_id <> right_row_id), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w(id, seen) AS (SELECT DISTINCT a, a FROM u UNION SELECT w.id, u.b FROM w JOIN u ON u.a = w.seen) SELECT id, min(seen) AS group_id FROM w GROUP BY id",
         "canonical_survivors": f"WITH {_GROUPED} SELECT * FROM t",

@@ -113,14 +113,19 @@ def scan_placeholders(spark: SparkSession, sf: str) -> DataFrame:
     return v.groupBy("column_name").agg(F.count("*").alias("n"), F.count_if(t.is_empty(F.col("value"))).alias("empty"), F.count_if(t.is_placeholder(F.col("value"))).alias("stand_ins"))
 
 
+_SHAPED = "SELECT event_id, k, v FROM (SELECT event_id, UNNEST([0, 1, 2, 3, 4]) AS k, UNNEST([props, '$ ' || CAST(user_id AS VARCHAR), CAST(user_id AS VARCHAR), strftime(ts, '%Y-%m-%d'), CASE WHEN event_id % 2 = 0 THEN 'https://x.example/' || event_type END]) AS v FROM events) AS x"
+
+
 @_query(
-    """SELECT event_id, CASE WHEN coalesce(trim(props), '') = '' THEN 'empty' WHEN regexp_matches(trim(props), '^[$€£¥] ?[0-9]') THEN 'currency' WHEN regexp_matches(trim(props), '^-?[0-9][0-9,]*(\\.[0-9]+)?$') THEN 'number'
-       WHEN regexp_matches(trim(props), '^[0-9]{4}-[0-9]{2}-[0-9]{2}') THEN 'date' WHEN regexp_matches(trim(props), '^https?://') THEN 'url' ELSE 'text' END AS shape,
-       CASE WHEN regexp_extract(replace(props, ',', ''), '(-?[0-9]+(\\.[0-9]+)?)', 1) <> '' THEN regexp_extract(replace(props, ',', ''), '(-?[0-9]+(\\.[0-9]+)?)', 1) END AS first_number FROM events"""
+    f"""SELECT event_id, k, CASE WHEN coalesce(trim(v), '') = '' THEN 'empty' WHEN regexp_matches(trim(v), '^[$€£¥] ?[0-9]') THEN 'currency' WHEN regexp_full_match(trim(v), '-?[0-9][0-9,]*(\\.[0-9]+)?') THEN 'number'
+       WHEN regexp_matches(trim(v), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN 'date' WHEN starts_with(trim(v), 'https://') THEN 'url' ELSE 'text' END AS shape,
+       nullif(regexp_extract(replace(v, ',', ''), '(-?[0-9]+(\\.[0-9]+)?)', 1), '') AS first_number FROM ({_SHAPED}) AS y"""
 )
 def value_shape(spark: SparkSession, sf: str) -> DataFrame:
-    """Shape and first number of event properties."""
-    return table(spark, sf, "events").select("event_id", t.shape(F.col("props")).alias("shape"), t.parse_decimal(F.col("props")).alias("first_number"))
+    """Shape and first number of event properties, amounts, numbers, dates and addresses."""
+    kinds = F.array(F.col("props"), F.concat(F.lit("$ "), F.col("user_id").cast("string")), F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"), F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("https://x.example/"), "event_type")))
+    v = table(spark, sf, "events").select("event_id", F.posexplode(kinds).alias("k", "v"))
+    return v.select("event_id", "k", t.shape(F.col("v")).alias("shape"), t.parse_decimal(F.col("v")).alias("first_number"))
 
 
 @_query(
@@ -171,10 +176,10 @@ def block_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return r.candidate_pairs(_blocks(spark, sf), 60).withColumnsRenamed({"left": "left_row_id", "right": "right_row_id"})
 
 
-@_query(f"WITH {_BLOCKS} SELECT block, size FROM s WHERE size > 60")
+@_query(f"WITH {_BLOCKS} SELECT block, size FROM s WHERE size > 8")
 def block_oversized(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocks too large to pair."""
-    return r.oversized_blocks(_blocks(spark, sf), 60)
+    """Blocks that a limit of 8 rows leaves unpaired."""
+    return r.oversized_blocks(_blocks(spark, sf), 8)
 
 
 @_query(
