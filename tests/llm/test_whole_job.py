@@ -146,3 +146,23 @@ def test_each_capacity_binds_and_shards_are_packed_again(spark):
         assert out.groupBy("window_id").sum("n_tokens").distinct().count() in (1, 2) and out.count() == out.select("window_id", "doc_id", "piece").distinct().count()
     a, b = ({x.window_id: x.containers for x in fill_report(o, wins).collect()} for o in (whole, sharded))
     assert all(b[w] <= a[w] * 1.02 + 2 for w in a)
+
+
+def test_slips_meet_whatever_is_close(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+
+    def typed(w):
+        k = rng.randrange(len(w))
+        return rng.choice([w[:k] + w[k + 1 :], w[:k] + rng.choice("abc") + w[k:], w[:k] + rng.choice("abc") + w[k + 1 :], w[:k] + w[k + 1 : k + 2] + w[k : k + 1] + w[k + 2 :]])
+
+    pairs = []
+    for n in range(3, 22):
+        for _ in range(60):
+            w = "".join(rng.choice("abcdefgh") for _ in range(n))
+            v = typed(w) if n < 8 or rng.random() < 0.3 else typed(typed(w))
+            if v and parse.close(w, v):
+                pairs.append((w, v))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert len(pairs) > 800 and df.where(~F.arrays_overlap(parse.slips(F.col("a")), parse.slips(F.col("b")))).count() == 0
