@@ -13,6 +13,7 @@ from rowloom.operators import cleanup as c
 from rowloom.operators import likelihood as lh
 from rowloom.operators import matching as m
 from rowloom.operators import review
+from rowloom.plans.matching import _NORMAL
 from rowloom.runtime import Scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -217,6 +218,7 @@ def oracle_sql() -> dict[str, str]:
     empty = f"lower({{0}}) IN ('', {_STAND_INS})"
     cols = {x: f"coalesce({_TIDY.format(x)}, '')" for x in ROLES}
     return {
+        "value_frequencies": f"WITH {_NORMAL}, v AS (SELECT 'phone' AS kind, e164 AS value FROM n UNION ALL SELECT 'email', mail FROM n UNION ALL SELECT 'address', concat_ws(' ', NULLIF(house_number, ''), NULLIF(street, ''), NULLIF(unit, '')) FROM n WHERE adr <> '') SELECT kind, value, round(COUNT(*) / (SELECT COUNT(*) FROM people_export), 9) AS share FROM v WHERE value IS NOT NULL GROUP BY ALL",
         "clean_phones": _PHONES,
         "clean_zips": _ZIPS,
         "clean_emails": _MAILS,

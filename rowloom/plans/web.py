@@ -294,6 +294,7 @@ def oracle_sql() -> dict[str, str]:
         "validated_orders": "WITH o AS (SELECT o_orderkey, CASE WHEN o_custkey % 5 > 0 THEN o_custkey END AS cust, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_totalprice >= 50000) SELECT o_orderkey FROM o WHERE cust IS NULL UNION ALL SELECT min(o_orderkey) FROM o WHERE cust IS NOT NULL GROUP BY cust, day",
         "scope_filter": "SELECT DISTINCT run_id, run_id % 2 = 0 AS inside FROM scrape_result WHERE source_url IS NOT NULL",
         "robots_decisions": "SELECT 'https://x.example/o/' || o_orderkey AS url, (o_orderkey % 10 = 1 OR starts_with(CAST(o_orderkey AS VARCHAR), '9')) AS allowed FROM orders",
+        "refusals": "SELECT run_id, CAST(SUM(CASE WHEN " + " OR ".join(f"contains(lower(w), '{x}')" for x in ("captcha", "are you a robot", "verify you are human", "unusual traffic", "access denied", "cf-challenge", "enable javascript and cookies to continue", "request blocked", "bot detection")) + " THEN 1 ELSE 0 END) AS BIGINT) AS refused FROM (SELECT DISTINCT run_id, UNNEST(warnings) AS w FROM scrape_result) AS x GROUP BY run_id",
         "table_profile": """WITH v AS (SELECT crm_id, UNNEST(['full_name', 'mobile', 'street', 'city', 'zip_code', 'entered_by']) AS column_name, UNNEST([full_name, mobile, street, city, zip_code, entered_by]) AS value FROM crm_contacts), f AS (SELECT column_name, value, min(crm_id) AS seen FROM v WHERE value <> '' GROUP BY ALL), s AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY seen, value) AS k FROM f)
             SELECT v.column_name, COUNT(*) AS row_count, COUNT(*) FILTER (WHERE value IS NULL OR value = '') AS null_count, COUNT(DISTINCT value) FILTER (WHERE value <> '') AS distinct_count, (SELECT string_agg(s.value, '|' ORDER BY k) FROM s WHERE s.column_name = v.column_name AND k <= 5) AS sample_values FROM v GROUP BY v.column_name""",
         "json_keys": "SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(user_id AS VARCHAR) AS who, 'v' AS kind, 'a, b' AS tags FROM events",
