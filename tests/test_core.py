@@ -64,6 +64,45 @@ def test_profile_of_empty_and_null_tables(spark):
     assert q.profile_findings(nulls, spark.createDataFrame([], schema)).count() == 0
 
 
+def test_shifts_of_numbers_and_times_and_clashing_columns(spark):
+    import random
+
+    rng = random.Random(2)
+    at = dt.datetime(2024, 1, 1)
+    rows = []
+    for load in range(1, 7):
+        for i in range(200):
+            # load 3: confidences lower, all inside the usual range; load 5: values that arrive decades after their time
+            confidence = rng.uniform(0.55, 0.61) if load == 3 else rng.uniform(0.90, 0.96)
+            seen = at + dt.timedelta(minutes=i)
+            rows.append((load * 1000 + i, "d", load, f"Name {i}", f"(512) 555-{i:04d}", None, f"{i} Oak St", "12345", confidence, seen - dt.timedelta(days=7300) if load == 5 else seen, at + dt.timedelta(days=2), 1, 2, "x"))
+    df = spark.createDataFrame(rows, "row_id long, dataset_id string, load_id long, name string, phone string, email string, address string, zip string, match_confidence double, updated_at timestamp, loaded_at timestamp, n int, total int, draw string")
+    stored = spark.createDataFrame([], "load_id long, column_name string, null_count long, distinct_count long, sample_values array<string>")
+    assert {tuple(x) for x in q.profile_findings(df, stored).collect()} == {(3, "match_confidence", "shift"), (5, "updated_at", "shift")}
+    values = q.column_values(df)
+    got = {(x.load_id, x.column_name): x for x in q.load_discrimination(df, values, q.base_profile(values)).collect()}
+    assert got[3, "match_confidence"].loss > 0.3 and got[3, "match_confidence"].joint_auc > 0.9 and got[3, "name"].loss < 0.1
+
+
+def test_medians_and_copies_of_hot_values(spark):
+    import random
+    import statistics
+
+    rng = random.Random(1)
+    data = [(g, rng.choice([None, rng.random(), 7.0])) for g in "abc" for _ in range(rng.randrange(1, 60))] + [("hot", float(i % 3)) for i in range(500)]
+    df = spark.createDataFrame(data, "g string, v double").repartition(7)
+    got = {x.g: (x.median, x.n) for x in r.medians(df, ["g"], "v").collect()}
+    want = {}
+    for g, v in data:
+        if v is not None:
+            want.setdefault(g, []).append(v)
+    assert {g: (m, n) for g, (m, n) in got.items()} == {g: (statistics.median(v), len(v)) for g, v in want.items()}
+    assert r.medians(df.limit(0), [], "v").count() == 0
+    rows = spark.createDataFrame([(i, "same" if i % 2 else None) for i in range(400)], "id int, v string").repartition(9)
+    copies = {x.id: x["copy"] for x in r.exact_duplicates(rows, ["v"], ["id"]).collect()}
+    assert all(copies[i] == i // 2 for i in range(400))
+
+
 def test_entry_runs(spark):
     import __spark_entry__ as e
 
