@@ -31,7 +31,7 @@ def exact_duplicates(rows: DataFrame, columns: Sequence[str], order: Sequence[st
 
 
 def medians(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """(by..., median, n): exact medians of a column of numbers, nulls aside.
+    """(by..., median, n): exact medians of a column of numbers, nulls aside; without groups one row, of n 0 if there are no numbers.
 
     Values are counted first and cut into ranges; a median is read off the range that holds the middle of its group, so
     neither all values of a group nor the counts of all groups meet in one task.
@@ -50,7 +50,7 @@ def medians(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     upto = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy("_v"))
     at = inside.withColumn("_upto", F.col("_before") + upto)
     middle = at.where((F.col("_upto") > lo) & (F.col("_upto") - F.col("_n") <= hi))
-    return middle.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias("median"), F.max("_all").alias("n"))
+    return middle.groupBy(*keys).agg(((F.min("_v") + F.max("_v")) / 2).alias("median"), F.coalesce(F.max("_all"), F.lit(0)).alias("n"))
 
 
 def _all_equal(df: DataFrame, keys: Sequence[str]) -> Column:
