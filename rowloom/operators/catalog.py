@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -114,10 +116,13 @@ def fold_in(rows: DataFrame, others: DataFrame, keys: Sequence[Column], columns:
     keys are expressions that hold on both tables; an empty key finds nothing.
     """
     place = F.explode(F.filter(F.transform(F.array(*keys), lambda k, i: F.struct(i.alias("rank"), k.alias("key"))), lambda e: F.coalesce(e["key"], F.lit("")) != "")).alias("e")
-    left = rows.select(row_id, place).select(row_id, "e.rank", "e.key")
+    blank = lambda c: t.is_empty(F.col(c).cast("string"))
     right = others.select(F.col(order).alias("_o"), *[F.col(c).alias(f"_o_{c}") for c in columns], place).select("_o", *[f"_o_{c}" for c in columns], "e.rank", "e.key")
-    met = left.join(right, ["rank", "key"])
-    first = met.groupBy(row_id).agg(*[F.min_by(f"_o_{c}", F.when(~t.is_empty(F.col(f"_o_{c}").cast("string")), F.struct("rank", "_o"))).alias(f"_o_{c}") for c in columns])
+    # what a key supplies is settled once per key, so that a key of many rows costs no more than its rows
+    best = right.groupBy("rank", "key").agg(*[F.min(F.when(~blank(f"_o_{c}"), F.struct("_o", f"_o_{c}"))).alias(f"_o_{c}") for c in columns])
+    wanting = rows.where(reduce(or_, [blank(c) for c in columns])).select(row_id, place).select(row_id, "e.rank", "e.key")
+    met = wanting.join(best, ["rank", "key"])
+    first = met.groupBy(row_id).agg(*[F.min(F.when(F.col(f"_o_{c}").isNotNull(), F.struct("rank", f"_o_{c}")))[f"_o_{c}"][f"_o_{c}"].alias(f"_o_{c}") for c in columns])
     filled = lambda c: F.coalesce(F.when(~t.is_empty(F.col(c).cast("string")), F.col(c)), F.col(f"_o_{c}")).alias(c)
     return rows.join(first, row_id, "left").select(*[filled(c) if c in columns else F.col(c) for c in rows.columns])
 

@@ -107,3 +107,17 @@ def test_entry_runs(spark):
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and e.entry(spark).count() >= 0
+
+
+def test_a_town_is_settled_once_per_place(spark):
+    from rowloom.operators.catalog import fold_in
+
+    # a tenth of the rows or more share one code: each against each would be 10^10 meetings
+    crowd = spark.range(1000, 101000).select(F.col("id"), F.lit("").alias("street"), F.when(F.col("id") % 2 == 0, "Hillbrook").otherwise("").alias("town"), F.lit("12345").alias("zip"))
+    few = spark.createDataFrame([(1, "Oak St", "", "12345"), (2, "OAK ST", "Larkham", "12345"), (3, "Oak St", "Elmway", "12345"), (4, "Oak St", None, "54321"), (5, "", None, None), (6, "Elm St", "Elmway", "12345")], "id long, street string, town string, zip string")
+    rows = crowd.unionByName(few)
+    keys = [F.when((F.col("street") != "") & (F.col("zip") != ""), F.concat_ws("|", F.lower("street"), "zip")), F.col("zip")]
+    out = fold_in(rows, rows, keys, ["town"], "id", "id")
+    assert out.count() == 100_006 and out.columns == rows.columns
+    assert {x.id: x.town for x in out.where("id < 10").collect()} == {1: "Larkham", 2: "Larkham", 3: "Elmway", 4: None, 5: None, 6: "Elmway"}
+    assert {tuple(x) for x in out.where("id >= 1000").groupBy(F.col("id") % 2, "town").count().collect()} == {(0, "Hillbrook", 50_000), (1, "Larkham", 50_000)}
