@@ -166,3 +166,29 @@ def test_slips_meet_whatever_is_close(spark):
                 pairs.append((w, v))
     df = spark.createDataFrame(pairs, "a string, b string")
     assert len(pairs) > 800 and df.where(~F.arrays_overlap(parse.slips(F.col("a")), parse.slips(F.col("b")))).count() == 0
+
+
+def test_chance_of_a_slip_counts_every_pair(spark):
+    from rowloom.llm.linkage import chance_levels, slipped_regions
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    rng = random.Random(5)
+    code = lambda: "".join(rng.choice("0123") for _ in range(5))
+    rows = [(i, i % 3 == 0, rng.choice([None, f"p{rng.randrange(9)}"]), rng.choice([None, f"a{rng.randrange(9)}"]), rng.choice([None, code(), code(), "01230"]), rng.choice([None, "7", "8", "9"])) for i in range(400)]
+    known = spark.createDataFrame([(i, f"p||ann oak{z}", ph, pl, z, n) for i, _, ph, pl, z, n in rows], "id long, form string, phone string, place string, zip string, number string")
+    side = spark.createDataFrame([(i, l) for i, l, *_ in rows], "id long, l boolean")
+    met = [(x, y) for x in rows if x[1] for y in rows if not y[1]]
+    both = [(x[4], y[4]) for x, y in met if x[4] and y[4]]
+    slip = sum(a != b and edits(a, b) <= 2 for a, b in both)
+    assert slipped_regions(known.join(side, "id")) == slip and slip > sum(a != b and sum(c != d for c, d in zip(a, b)) <= 2 for a, b in both)
+    chance = chance_levels(known, side, 50_000)
+    assert chance["zip"][1] == (slip + 0.5) / (len(both) + 1.0) and chance["zip"][2] == (sum(a == b for a, b in both) + 0.5) / (len(both) + 1.0)
+    phones = [(x[2], y[2]) for x, y in met if x[2] and y[2]]
+    assert chance["phone"][1] == (sum(a == b for a, b in phones) + 0.5) / (len(phones) + 1.0)
