@@ -192,3 +192,44 @@ def test_chance_of_a_slip_counts_every_pair(spark):
     assert chance["zip"][1] == (slip + 0.5) / (len(both) + 1.0) and chance["zip"][2] == (sum(a == b for a, b in both) + 0.5) / (len(both) + 1.0)
     phones = [(x[2], y[2]) for x, y in met if x[2] and y[2]]
     assert chance["phone"][1] == (sum(a == b for a, b in phones) + 0.5) / (len(phones) + 1.0)
+
+
+def test_tokens_meet_whatever_is_close(spark):
+    from rowloom.llm.names import near_tokens
+
+    rng = random.Random(2)
+    words = set()
+    for n in range(3, 15):
+        for _ in range(12):
+            v = "".join(rng.choice("abcdé") for _ in range(n))
+            for _ in range(4):
+                words.add(v)
+                k = rng.randrange(len(v))
+                v = rng.choice([v[:k] + v[k + 1 :], v[:k] + rng.choice("abc") + v[k:], v[:k] + rng.choice("abc") + v[k + 1 :], v[:k] + v[k + 1 : k + 2] + v[k : k + 1] + v[k + 2 :]])
+    tokens = sorted(words) + [f"+{w}" for w in sorted(words) if len(w) > 9] + ["#ann", "#anna"]
+    left, right = tokens[::2], tokens[::3]
+    bare = lambda t: t.lstrip("+")
+    want = {(t, t) for t in set(left) & set(right) if t[0] != "+"}
+    want |= {(t, o) for t in left for o in right if t != o and "#" not in t + o and not t[0] == o[0] == "+" and min(len(bare(t)), len(bare(o))) >= 3 and parse.close(bare(t), bare(o))}
+    frame = lambda ts: spark.createDataFrame([(t,) for t in ts], "token string")
+    got = [tuple(x) for x in near_tokens(frame(left), frame(right), Scratch(spark)).collect()]
+    assert set(got) == want and len(got) == len(want) > 500
+
+
+def test_the_typo_search_writes_no_lost_letters_out(spark):
+    from rowloom.llm.names import near_tokens
+
+    class Counting(Scratch):
+        rows = 0
+
+        def cut(self, df, **how):
+            back = super().cut(df, **how)
+            self.rows = max(self.rows, back.count())
+            return back
+
+    rng = random.Random(4)
+    frame = spark.createDataFrame([("".join(rng.choice("abcdefgh") for _ in range(12)),) for _ in range(300)], "token string")
+    scratch = Counting(spark)
+    near_tokens(frame, frame, scratch).count()
+    # 12 letters have 79 forms with up to two lost
+    assert scratch.rows <= 600
