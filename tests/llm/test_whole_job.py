@@ -233,3 +233,21 @@ def test_the_typo_search_writes_no_lost_letters_out(spark):
     near_tokens(frame, frame, scratch).count()
     # 12 letters have 79 forms with up to two lost
     assert scratch.rows <= 600
+
+
+def test_namesakes_by_given_name_are_not_compared_and_spellings_are(spark):
+    from rowloom.llm.linkage import _pairs
+
+    rng = random.Random(9)
+    last = ["t" + "".join(rng.choice("aeiou") + rng.choice("bdfgkmprv") for _ in range(3)) + "n" for _ in range(30)]
+    typed = lambda w: w[:3] + w[4:]
+    left, right = [f"p||ken b {w}" for w in last], [f"p||kenneth b {typed(w)}" for w in last]
+    # other ways to write one name: initial, words written as one, a typo in the name that a short form stands for, two typos at the ends
+    left += ["p||ivan torkisenda", "p||maryanna lee", "p||robert halt", "p||zoe xkelnudilix", "o||plumview auto repair"]
+    right += ["p||i torkisenda", "p||mary anna lee", "p||bobbie halt", "p||zoe kelnudili", "o||plumveiw auto repair"]
+    rows = [(i, f, True) for i, f in enumerate(left)] + [(1000 + i, f, False) for i, f in enumerate(right)]
+    known = spark.createDataFrame([(i, f, None, "12345", None, None) for i, f, _ in rows], "id long, form string, phone string, zip string, place string, number string")
+    got = {tuple(x) for x in _pairs(known, spark.createDataFrame([(i, l) for i, _, l in rows], "id long, l boolean"), Scratch(spark)).collect()}
+    want = {(i, 1000 + j) for i, a in enumerate(left) for j, b in enumerate(right) if parse.name_ops(min(a, b), max(a, b)) is not None}
+    # all 900 pairs of the first thirty share a given name, an initial and the first letter of the last word
+    assert {(i, 1000 + i) for i in range(30)} <= want <= got and len(got) < 400
