@@ -251,3 +251,44 @@ def test_namesakes_by_given_name_are_not_compared_and_spellings_are(spark):
     want = {(i, 1000 + j) for i, a in enumerate(left) for j, b in enumerate(right) if parse.name_ops(min(a, b), max(a, b)) is not None}
     # all 900 pairs of the first thirty share a given name, an initial and the first letter of the last word
     assert {(i, 1000 + i) for i in range(30)} <= want <= got and len(got) < 400
+
+
+def test_names_and_addresses_are_parsed_once(spark):
+    from rowloom.llm.names import contacts
+    from rowloom.llm.places import parts_of
+
+    def evaluations(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [")
+
+    rows = spark.createDataFrame([(1, "Ann Lee", None, None, "12 Elm St", "12345", None)], "id long, name string, phone string, email string, address string, zip string, town string")
+    assert evaluations(parts_of(rows)) == 1
+    named = rows.select("id", parse.name_column(rows["name"]).alias("form")).where("form IS NOT NULL")
+    assert evaluations(named) == 1 and [x.form for x in named.collect()] == ["p||ann lee"]
+    assert [x.form for x in contacts(rows, Scratch(spark)).collect()] == ["p||ann lee"]
+
+
+def test_a_worker_holds_a_bounded_part_of_its_rows():
+    import tracemalloc
+
+    import pandas as pd
+
+    from rowloom.llm.typos import meeting
+
+    def held(work):
+        tracemalloc.start()
+        result = work()
+        now, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        return result, now / 1e6, peak / 1e6
+
+    parse.address_parts.cache_clear()
+    assert held(lambda: [parse.address_parts(f"{k} Elm Street, Springfield", "12345") for k in range(1, 30_000)].clear())[1] < 6
+    forms = pd.Series([f"p||ann{k % 97} b{k}x" for k in range(6_000)])
+    parts = list(parse.tokens_of.func(iter([(forms, pd.Series([True] * len(forms)))])))
+    assert max(map(len, parts)) <= 1_000 and [r[0]["token"] for s in parts for r in s] == [f"ann{k % 97}" for k in range(6_000)]
+    # numbers of a bucket: every second left word has one partner
+    n = 1_000_000
+    numbers = np.arange(n, dtype=np.uint32) // 2
+    ids = np.arange(n) * 8 + np.arange(n) % 2 + 1
+    pairs, _, peak = held(lambda: sum(int((b - a == 9).sum()) for a, b in meeting(numbers, ids)))
+    assert pairs == n // 2 and peak < 40
